@@ -74,30 +74,37 @@ def _bucket(key: Column, bounds: list[int], at: int = 0) -> Column:
     return F.when(key < bounds[mid], _bucket(key, bounds[:mid], at)).otherwise(_bucket(key, bounds[mid + 1 :], at + mid + 1))
 
 
-def with_next(df: DataFrame, id_col: str, text: str, carry: dict[str, str]) -> DataFrame:
-    """Add columns of the next row in descending id (after the last: the first).
+def with_neighbours(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Deal rows to ranges of ids so that each row's next one, in descending id, is in its range.
 
-    ``carry`` maps columns to the names their next values get. Rows are dealt
-    to ranges of ids; the first row of each range also goes to the range
-    before it, so no task sees more than its range and no row is sorted twice.
+    Adds ``_bucket``, ``_ghost``, ``_key`` and ``_tie``. The first row of each
+    range also goes, as a ghost, to the range before it (that of the first
+    range to the last), so no task sees more than its range.
     """
     spark = df.sparkSession
     parts = min(1024, max(128, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     df = df.withColumn("_key", F.coalesce(F.col(id_col).cast("long"), F.lit(LOW))).withColumn("_tie", F.xxhash64(text))
     bounds = df.agg(F.percentile_approx("_key", [i / parts for i in range(1, parts)], 10000)).first()[0] or []
-    df = df.withColumn("_bucket", _bucket(F.col("_key"), sorted(set(bounds))))
-    heads = df.groupBy("_bucket").agg(F.max(F.struct(F.col("_key"), -F.col("_tie").cast("decimal(20,0)"))).alias("h"), F.max("_key").alias("_key")).collect()
-    heads = sorted(((r["_bucket"], r["_key"], int(-r["h"][1])) for r in heads), reverse=True)  # ranges of descending ids
+    df = df.withColumn("_bucket", _bucket(F.col("_key"), sorted(set(bounds)))).withColumn("_ghost", F.lit(0))
+    least = df.groupBy("_bucket").agg(F.max(F.struct(F.col("_key"), -F.col("_tie").cast("decimal(20,0)"))).alias("h")).collect()
+    heads = sorted(((r["_bucket"], r["h"][0], int(-r["h"][1])) for r in least), reverse=True)  # ranges of descending ids
     if not heads:
-        return df.withColumns({new: F.col(old) for old, new in carry.items()}).drop("_key", "_tie", "_bucket")
-    before = [(k, t, heads[i - 1][0]) for i, (_, k, t) in enumerate(heads)]  # the first head follows the last range
+        return df
+    before = [(k, t, heads[i - 1][0]) for i, (_, k, t) in enumerate(heads)]
     ghosts = spark.createDataFrame(before, "_key long, _tie long, _to int")
     one = df.join(F.broadcast(ghosts), ["_key", "_tie"]).dropDuplicates(["_key", "_tie", "_to"])
-    one = one.select(*(F.col("_to").alias("_bucket") if c == "_bucket" else F.col(c) for c in df.columns), F.lit(1).alias("_ghost"))
-    rows = df.withColumn("_ghost", F.lit(0)).unionByName(one)
+    one = one.select(*(F.col("_to").alias("_bucket") if c == "_bucket" else F.lit(1).alias("_ghost") if c == "_ghost" else F.col(c) for c in df.columns))
+    return df.unionByName(one)
+
+
+def with_next(df: DataFrame, carry: dict[str, str]) -> DataFrame:
+    """Add columns of the next row, given what with_neighbours() added, and drop the ghosts.
+
+    ``carry`` maps columns to the names their next values get.
+    """
     order = Window.partitionBy("_bucket").orderBy("_ghost", F.desc("_key"), "_tie")
-    rows = rows.withColumns({new: F.lead(old).over(order) for old, new in carry.items()})
-    return rows.where("_ghost = 0").drop("_key", "_tie", "_bucket", "_ghost")
+    df = df.withColumns({new: F.lead(old).over(order) for old, new in carry.items()})
+    return df.where("_ghost = 0").drop("_key", "_tie", "_bucket", "_ghost")
 
 
 def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -108,8 +115,8 @@ def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     fingerprints' hashes and positions, near_edited and near_next.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = with_fingerprint(rows, "text", "")
-    rows = with_next(rows, "doc_id", "text", {"text": "next_text", "hashes": "next_hashes"})
+    rows = with_fingerprint(with_neighbours(rows, "doc_id", "text"), "text", "")
+    rows = with_next(rows, {"text": "next_text", "hashes": "next_hashes"})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
