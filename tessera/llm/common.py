@@ -7,7 +7,9 @@ is cut with ``checkpoint()`` into the folder the cluster names in
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,6 +44,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spool(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write ``df`` as a table in the shared folder, smaller than a checkpoint; (table, path)."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a table that spool() wrote."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def maybe_broadcast(df: DataFrame, rows: int, limit: int = 100_000) -> DataFrame:
+    """A hint to broadcast ``df`` if its counted ``rows`` of a few numbers each are few."""
+    return F.broadcast(df) if rows <= limit else df
+
+
+def release(spark: SparkSession) -> None:
+    """Have Spark drop the shuffle files and checkpoints of tables no longer referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,11 +1,14 @@
 """Substring dedup: repeated word sequences by prefix-partitioned suffix trees.
 
+0. *Copies.* Of texts that are equal throughout, only one of the smallest
+   doc_id goes on; the others lose all words that a window covers.
 1. *Anchors.* Each window of 50 words has an anchor, the least hash of its
    13-word sequences. Equal windows have equal anchors, so a window can repeat
    in another document only if its anchor does; one aggregation by anchor
    finds those. About one word in twenty is an anchor.
 2. *Suffixes.* The words from a candidate window's start are a suffix cut at
-   50 words, written as five symbols, the hashes of ten words each.
+   50 words, written as five symbols, hashes of ten words each, which fit into
+   two longs.
 3. *Prefixes.* Suffixes are grouped by their first symbol. Where a group would
    exceed ``GROUP_CAP`` rows, the prefix grows by a symbol, up to the whole
    suffix; what is then still too large are suffixes that are equal throughout,
@@ -18,7 +21,7 @@
 5. The repeated windows go back to their documents, which lose the words that
    any of them covers.
 
-Symbols are 64-bit hashes; a false repeat needs equal hashes of five different
+The five symbols have 128 bits; a false repeat needs equal hashes of all five
 ten-word sequences at once.
 
 Cases: a null text has no words, as an empty one. A null doc_id is larger than
@@ -38,11 +41,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, tune
+from tessera.llm.common import cut, drop_table, maybe_broadcast, release, spool, tune
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WINDOW, BLOCK, GRAM = 50, 10, 13
 SYMBOLS = WINDOW // BLOCK
+#: Bits of each symbol, and how often the first long is shifted to leave the first one, two and three.
+BITS = (24, 20, 20, 32, 32)
 GROUP_CAP = 20_000
 #: Bytes of text hashed at a time.
 CHUNK = 1 << 21
@@ -109,11 +114,24 @@ class Words:
         low = np.minimum(low[: len(low) - (width - have)], low[width - have :])
         return low[self.window].view(np.int64)
 
-    def symbols(self, at: np.ndarray) -> list[np.ndarray]:
-        """The five symbols of the suffixes that start at words ``at``."""
+    def symbols(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The five symbols of the suffixes that start at words ``at``, in two longs."""
         s = np.arange(max(0, len(self.hash) - BLOCK + 1))
-        ten = _spans(self.hash, s, s + BLOCK, 0xD1B54A32D192ED03).view(np.int64)
-        return [ten[at + i * BLOCK] for i in range(SYMBOLS)]
+        ten = _spans(self.hash, s, s + BLOCK, 0xD1B54A32D192ED03)
+        longs = []
+        for own in (range(3), range(3, 5)):
+            x = np.zeros(len(at), np.uint64)
+            for i in own:
+                x = (x << np.uint64(BITS[i])) | (ten[at + i * BLOCK] >> np.uint64(64 - BITS[i]))
+            longs.append(x.view(np.int64))
+        return longs[0], longs[1]
+
+
+def symbols_of(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """The five symbols again."""
+    a, b = a.view(np.uint64), b.view(np.uint64)
+    low = lambda x, n: x & np.uint64((1 << n) - 1)
+    return [a >> np.uint64(40), low(a >> np.uint64(20), 20), low(a, 20), b >> np.uint64(32), low(b, 32)]
 
 
 def _chunks(ids: pa.Array, texts: pa.Array, *more: pa.Array) -> Iterator[tuple]:
@@ -129,20 +147,18 @@ def _chunks(ids: pa.Array, texts: pa.Array, *more: pa.Array) -> Iterator[tuple]:
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for ids, texts in _chunks(b.column(0), b.column(1)):
+        for ids, texts, row in _chunks(b.column(0), b.column(1), b.column(2)):
             w = Words(texts)
             anchor, doc = w.anchors(), w.doc[w.window]
             new = np.ones(len(anchor), bool)
             new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
             if new.any():
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[new]), pa.array(ids[doc[new]])], ["anchor", "doc"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[new]), pa.array(ids[doc[new]]), pa.array(np.array(row, np.int64)[doc[new]])], ["anchor", "doc", "row"])
 
 
 def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc", "row", "pos", *(f"s{i}" for i in range(SYMBOLS))]
     for b in batches:
         for ids, texts, found, row in _chunks(b.column(0), b.column(1), b.column(2), b.column(3)):
-            row = np.array(row, np.int64)
             w = Words(texts)
             anchor, doc = w.anchors(), w.doc[w.window]
             keep = np.zeros(len(anchor), bool)
@@ -151,10 +167,10 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if own:
                     keep[edge[i] : edge[i + 1]] = np.isin(anchor[edge[i] : edge[i + 1]], np.array(own, np.int64))
             at = w.window[keep]
-            pos = (at - w.first[w.doc[at]]).astype(np.int32)
-            cols = [ids[w.doc[at]], row[w.doc[at]], pos, *w.symbols(at)]
+            place = (np.array(row, np.int64)[w.doc[at]] << 32) + (at - w.first[w.doc[at]])
+            cols = [ids[w.doc[at]], place, *w.symbols(at)]
             for i in range(0, len(at), 16384):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 16384]) for c in cols], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 16384]) for c in cols], ["doc", "place", "a", "b"])
 
 
 def deep_nodes(symbols: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,18 +194,19 @@ def deep_nodes(symbols: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray,
 
 def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Leaves of each group's subtree that share their deep node; rows come sorted by symbols within a group."""
-    keys = ["salted", "salt", *(f"s{i}" for i in range(SYMBOLS))]
+    keys = ["a", "b"]
 
     def tree(t: pa.Table) -> pa.RecordBatch | None:
-        cols = [t[k].to_numpy() for k in keys]
-        doc = t["doc"].to_numpy()
-        node, least = deep_nodes(cols, doc)
-        head = (least == doc) & (cols[0] > 0)
+        a, b = (t[k].to_numpy() for k in keys)
+        doc, place = t["doc"].to_numpy(), t["place"].to_numpy()
+        node, least = deep_nodes(symbols_of(a, b), doc)
+        head = (least == doc) & (place < 0)
         hit = (least < doc) | head
         if not hit.any():
             return None
-        out = [doc[hit], t["row"].to_numpy()[hit], t["pos"].to_numpy()[hit], head[hit], *(c[hit] for c in cols[2:])]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["doc", "row", "pos", "head", *keys[2:]])
+        out = [doc[hit], place[hit] & np.int64(NO_ID), head[hit]]
+        only = [pa.array(x[hit], mask=~head[hit]) for x in (a, b)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, out), *only], ["doc", "place", "head", "a", "b"])
 
     held: pa.Table | None = None
     for b in batches:
@@ -212,42 +229,73 @@ def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
+def _prefix(d: int):
+    """The first d symbols as columns."""
+    if d <= 3:
+        return [F.shiftrightunsigned("a", (40, 20, 0)[d - 1])]
+    return [F.col("a"), F.shiftrightunsigned("b", (32, 0)[d - 4])]
+
+
 def repeated_windows(docs: DataFrame, cap: int = GROUP_CAP) -> DataFrame:
-    """(doc, row, pos): each window of 50 words whose sequence also starts in a document of smaller id.
+    """(doc, row, found): of each text the starts of windows of 50 words whose sequence also starts in a
+    document of smaller id; -1 stands for all of them.
 
-    ``docs`` has columns doc (no nulls), row (tells texts of one id apart) and text.
+    ``docs`` has columns doc (no nulls), row (a positive integer that tells texts of one id apart) and text.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = [f"s{i}" for i in range(SYMBOLS)]
-    columns = ", ".join(f"{s} long" for s in names)
-    anchors = cut(docs.select("doc", "text").mapInArrow(_anchor_rows, "anchor long, doc long"))
-    twice = anchors.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("anchor")
-    per_doc = anchors.join(twice, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("found"))
-    raw = cut(docs.join(per_doc, "doc").select("doc", "text", "found", "row").mapInArrow(_suffix_rows, f"doc long, row long, pos int, {columns}"))
-    # the prefix grows by a symbol where too many suffixes share it
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # copies
+    names = cut(docs.select("doc", "row", F.md5("text").alias("name")))
+    first = names.groupBy("name").agg(F.min("doc").alias("first"))
+    copies = cut(names.join(first, "name").where("first < doc").select("doc", "row").distinct())
+    # anchors
+    anchors = docs.select("doc", "text", "row").mapInArrow(_anchor_rows, "anchor long, doc long, row long")
+    anchors, anchors_at = spool(anchors.join(copies, ["doc", "row"], "left_anti"))
+    twice = anchors.groupBy("anchor").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y").select("anchor")
+    per_doc = anchors.join(twice, "anchor").groupBy("doc", "row").agg(F.collect_set("anchor").alias("found"))
+    raw, raw_at = spool(docs.join(per_doc, ["doc", "row"]).select("doc", "text", "found", "row").mapInArrow(_suffix_rows, "doc long, place long, a long, b long"))
+    drop_table(spark, anchors_at)
+    del anchors, twice, per_doc, names, first
+    release(spark)
+    # the prefix grows by a symbol where too many suffixes share it; groups over the cap are rows / cap at most
     suffixes, inside, depth, salts = raw, raw, F.lit(1), F.lit(0).cast("long")
     for d in range(1, SYMBOLS + 1):
-        big = cut(inside.groupBy(*names[:d]).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cap))
-        if big.isEmpty():
+        keys = [f"_k{d}_{i}" for i in range(len(_prefix(d)))]
+        with_keys = lambda t: t.withColumns(dict(zip(keys, _prefix(d))))  # noqa: B023, E731
+        big = cut(with_keys(inside).groupBy(*keys).agg(F.count(F.lit(1)).alias(f"_n{d}")).where(F.col(f"_n{d}") > cap))
+        n_big = big.count()
+        if not n_big:
             break
-        suffixes = suffixes.join(big.withColumnRenamed("_n", f"_n{d}"), names[:d], "left")
-        inside = raw.join(big.select(*names[:d]), names[:d], "left_semi")
+        big = maybe_broadcast(big, n_big)
+        suffixes = with_keys(suffixes).join(big, keys, "left").drop(*keys)
+        inside = with_keys(raw).join(big.select(*keys), keys, "left_semi").drop(*keys)
         if d < SYMBOLS:
             depth = F.when(F.col(f"_n{d}").isNotNull(), d + 1).otherwise(depth)
         else:
             salts = F.coalesce(F.ceil(F.col(f"_n{d}") / cap), F.lit(0)).cast("long")
-    prefix = [F.when(F.col("depth") > i, F.col(s)) for i, s in enumerate(names)]
-    grouped = suffixes.select("doc", "row", "pos", *names, depth.alias("depth"), salts.alias("salted")).select(
-        "doc", "row", "pos", *names, "salted", F.xxhash64(*prefix).alias("prefix"),
-        F.when(F.col("salted") > 0, F.pmod(F.xxhash64("doc", "pos"), F.col("salted"))).otherwise(F.lit(0)).cast("long").alias("salt"),
-    )
-    grouped = grouped.repartition(n, "prefix", "salt").sortWithinPartitions("salted", "salt", *names).drop("prefix")
-    leaves = cut(grouped.mapInArrow(_tree_rows, f"doc long, row long, pos int, head boolean, {columns}"))
-    # of a node that was dealt to salts, the least document of each salt may still repeat that of another
-    heads = leaves.where("head")
-    least = heads.groupBy(*names).agg(F.min("doc").alias("least"))
-    settled = heads.join(least, names).where("least < doc")
-    return leaves.where("not head").select("doc", "row", "pos").union(settled.select("doc", "row", "pos"))
+    salted = "_n5" in suffixes.columns
+    prefix = F.lit(0).cast("long")
+    for d in range(1, SYMBOLS + 1):
+        prefix = F.when(depth == d, F.xxhash64(*_prefix(d))).otherwise(prefix)
+    salt = F.when(salts > 0, F.pmod(F.xxhash64("doc", "place"), salts)).otherwise(F.lit(0))
+    grouped = suffixes.repartition(n, prefix, salt)
+    # the sign of place marks the suffixes of a salted group
+    place = F.when(salts > 0, F.col("place").bitwiseOR(F.lit(-1 << 63))).otherwise(F.col("place")) if salted else F.col("place")
+    grouped = grouped.select("doc", place.alias("place"), "a", "b").sortWithinPartitions("a", "b")
+    leaves = grouped.mapInArrow(_tree_rows, "doc long, place long, head boolean, a long, b long")
+    found = leaves
+    if salted:  # of a node that was dealt to salts, the least document of each salt may still repeat that of another
+        leaves = cut(leaves)
+        heads = leaves.where("head")
+        least = heads.groupBy("a", "b").agg(F.min("doc").alias("least"))
+        found = leaves.where("not head").select("doc", "place").union(heads.join(least, ["a", "b"]).where("least < doc").select("doc", "place"))
+    found = found.select("doc", F.shiftright("place", 32).alias("row"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
+    found = found.groupBy("doc", "row").agg(F.collect_set("pos").alias("found"))
+    out = cut(found.union(copies.select("doc", "row", F.array(F.lit(-1)))))
+    drop_table(spark, raw_at)
+    del raw, inside, suffixes, grouped, leaves, found
+    release(spark)
+    return out
 
 
 def _keep(text: str | None, found: list[int] | None) -> tuple[int, list[str]]:
@@ -255,6 +303,8 @@ def _keep(text: str | None, found: list[int] | None) -> tuple[int, list[str]]:
     if not found:
         return len(words), words
     cover = np.zeros(len(words) + 1, np.int64)
+    if found == [-1]:
+        return len(words), [] if len(words) >= WINDOW else words
     at = np.array(found)
     np.add.at(cover, at, 1)
     np.add.at(cover, np.minimum(at + WINDOW, len(words)), -1)
@@ -274,9 +324,8 @@ def remove_repeats_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 
 def _removed(docs: DataFrame, doc_id: str, text: str, digest: bool) -> DataFrame:
     tune(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("row"))
-    per_doc = repeated_windows(rows).groupBy("doc", "row").agg(F.collect_set("pos").alias("found"))
-    both = rows.join(per_doc, ["doc", "row"], "left")
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text"), F.shiftrightunsigned(F.xxhash64(F.col(text)), 33).alias("row"))
+    both = rows.join(repeated_windows(rows), ["doc", "row"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
