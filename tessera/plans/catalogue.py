@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.plans import manifests, measures  # noqa: F401  they register their queries
+from tessera.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
 
 
-def flagship(spark, sf_dir):
-    return spark.range(1)
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owner event of each chunk: an interval join within each clip's row."""
+    return QUERIES["JN13_interval_owner"](spark, sf_dir)
