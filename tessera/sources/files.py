@@ -96,11 +96,9 @@ def read_metric_results(spark: SparkSession, path: str, scores: list[str]) -> Da
 
 def parse_dimension_results(text: DataFrame, column: str = "value") -> DataFrame:
     """(dimension, video_path, score) of ragged {dimension: [aggregate, [{video_path, video_results}]]} texts."""
-    v = F.try_parse_json(column)
     dims = text.select(F.explode(F.json_object_keys(column)).alias("dimension"), F.col(column).alias("t"))
-    inner = F.get_json_object("t", F.concat(F.lit("$['"), F.col("dimension"), F.lit("'][1]")))
+    inner = F.call_function("get_json_object", F.col("t"), F.concat(F.lit("$['"), F.col("dimension"), F.lit("'][1]")))
     items = dims.select("dimension", F.explode(F.from_json(inner, "array<struct<video_path:string,video_results:string>>")).alias("r"))
-    assert v is not None
     return items.select("dimension", "r.video_path", F.col("r.video_results").try_cast("double").alias("score")).where("score is not null")
 
 
