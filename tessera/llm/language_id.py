@@ -34,6 +34,8 @@ HIDDEN = 8
 TRAIN_ROWS = 240
 TRAIN_BYTES = 480
 EPOCHS = 4
+#: Gradient steps at least; small samples are read more often.
+LEAST_STEPS = 150
 BATCH = 128
 WINDOWS = 2048
 UNKNOWN = "und"
@@ -193,6 +195,7 @@ class ByteLanguageModel:
     def fit(self, windows: np.ndarray, label: np.ndarray, epochs: int = EPOCHS, rate: float = 0.02, seed: int = 6) -> None:
         """Adam over shuffled batches of windows (n, steps)."""
         rng = np.random.default_rng(seed)
+        epochs = max(epochs, -(-LEAST_STEPS // -(-len(windows) // BATCH)))
         params = self._params()
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         step, total = 0, max(1, epochs * -(-len(windows) // BATCH))
