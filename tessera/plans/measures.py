@@ -220,9 +220,9 @@ def _(t):
     return series.islands(t.series, "user_id", "i", F.col("value") < 60, 5).select("user_id", "start", "stop")
 
 
-@query("WIN11_time_bins", f"with {SERIES} select floor(i * 1.375 / 10)::bigint as bin, round(avg(m), 4) as m from (select user_id, i, value as m from series) group by 1")
+@query("WIN11_time_bins", f"with {SERIES} select floor(i * 1.375 / 10)::bigint as bin, round(avg(m), 6) as m from (select user_id, i, value as m from series) group by 1")
 def _(t):
-    return t.series.groupBy(F.floor(F.col("i") * 1.375 / 10).alias("bin")).agg(r4(F.avg("value")).alias("m"))
+    return t.series.groupBy(F.floor(F.col("i") * 1.375 / 10).alias("bin")).agg(r4(F.avg("value"), 6).alias("m"))
 
 
 @query("WIN12_abs_steps", f"with {SERIES} select user_id, i, abs(value - lag(value) over (partition by user_id order by i)) as d from series")
