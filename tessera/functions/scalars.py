@@ -134,3 +134,8 @@ def ema_decay(step: Column, after: int, most: float, least: float = 0.0) -> Colu
     """0 until ``after``, then (1 + s) / (10 + s) within [least, most]."""
     s = F.greatest(F.lit(0), step - after - 1)
     return F.when(s <= 0, F.lit(0.0)).otherwise(F.least(F.lit(most), F.greatest(F.lit(least), (1 + s) / (10 + s))))
+
+
+def metric_number(c: Column) -> Column:
+    """A metric's text as a number, booleans as 0 and 1; null for anything else."""
+    return F.when(c == "true", 1.0).when(c == "false", 0.0).otherwise(c.try_cast("double"))

@@ -118,3 +118,25 @@ def proportional_shards(a: int, b: int, n: int) -> tuple[int, int]:
         return (n if a else 0), (n if b else 0)
     x = max(1, min(n - 1, round(n * a / (a + b))))
     return x, n - x
+
+
+def resolve_alias(name: Column, aliases: dict[str, str]) -> Column:
+    """Canonical name of a known one, null for others. The aliases are a configuration, not data."""
+    return F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])[F.lower(F.trim(name))]
+
+
+def ordered_columns(df: DataFrame, order: list[str]) -> DataFrame:
+    """The named columns that exist, in the given order."""
+    return df.select(*[c for c in order if c in df.columns])
+
+
+def pick_resource(df: DataFrame, mode: str, free: str, least: float, key: str) -> DataFrame:
+    """The usable row with most room; ties go to the smallest key."""
+    return df.where((F.col("mode") == mode) & (F.col(free) >= least)).orderBy(F.desc(free), key).limit(1)
+
+
+def pick_version(present: Column, key: Column, seed: int = 0) -> Column:
+    """One of the non-null versions, even over seeded hashes of ``key``; null if there is none."""
+    have = F.array_compact(present)
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"))), 1, 8), 16, 10).cast("long")
+    return F.get(have, (h % F.nullif(F.size(have), F.lit(0))).cast("int"))

@@ -158,3 +158,24 @@ def train_test(df: DataFrame, key: str, n_test: int, seed: int = 0) -> DataFrame
     """Add ``split``: the first n_test rows in seeded order are test."""
     test = df.select(key, seeded(seed, key).alias("_o")).orderBy("_o", key).limit(n_test).select(key, F.lit("test").alias("split"))
     return df.join(test, key, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+
+
+def where_equal(df: DataFrame, wanted: dict[str, object], anything: object = "avg") -> DataFrame:
+    """Rows that agree in every named column; None and ``anything`` leave a column free."""
+    for name, value in wanted.items():
+        if value is not None and value != anything:
+            df = df.where(F.col(name) == F.lit(value))
+    return df
+
+
+def require_version(df: DataFrame, captions: DataFrame, key: str, version: str, wanted: str, text: str) -> DataFrame:
+    """``df`` with the text of the wanted version and a reason (``no_cap``) where there is none."""
+    side = captions.where((F.col(version) == wanted) & (F.col(text) != "")).select(key, text)
+    return df.join(side, key, "left").withColumn("reason", F.when(F.col(text).isNull(), F.lit("no_cap")))
+
+
+def strict_lookup(df: DataFrame, side: DataFrame, on: str, value: str) -> DataFrame:
+    """Left join in which a key without a value is an error."""
+    got = df.join(side.select(on, value), on, "left")
+    miss = F.raise_error(F.concat(F.lit(f"no {value} for "), F.coalesce(F.col(on).cast("string"), F.lit("null"))))
+    return got.withColumn(value, F.when(F.col(value).isNull(), miss.cast(dict(side.dtypes)[value])).otherwise(F.col(value)))

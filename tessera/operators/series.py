@@ -166,3 +166,38 @@ def ema(values: Column, rho: float) -> Column:
     """Exponential moving averages of an ordered array; the first value starts it."""
     step = lambda s, x: F.concat(s, F.array(F.when(F.size(s) == 0, x).otherwise(F.element_at(s, -1) * rho + x * (1 - rho))))
     return F.aggregate(values, F.array().cast("array<double>"), step)
+
+
+def sampled_theil_sen(values: Column, cap: int = 4000, seed: int = 0) -> Column:
+    """theil_sen() of up to ``cap`` pairs; of longer series the median slope of ``cap`` seeded pairs, self-pairs left out."""
+    n = F.size(values)
+    at = lambda k, side: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), k.cast("string"), F.lit(side))), 1, 8), 16, 10).cast("long") % n).cast("int")
+    slope = lambda a, b: F.when(a != b, (F.get(values, b) - F.get(values, a)) / (b - a))
+    s = F.array_sort(F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(cap - 1)), lambda k: slope(at(k, "a"), at(k, "b")))))
+    middle = lambda up: F.get(s, F.floor((F.size(s) - 1 + up) / 2).cast("int"))
+    return F.when(n * (n - 1) / 2 <= cap, theil_sen(values)).otherwise((middle(0) + middle(1)) / 2)
+
+
+def runaway(first: Column, third: Column, last: Column, n: Column) -> Column:
+    """Does the last quarter exceed twice the first without falling below the third? No below four values or on a first of zero."""
+    grew = (last / F.nullif(first, F.lit(0.0)) > 2) & (last >= third)
+    return F.when((n < 4) | (first == 0), F.lit(False)).otherwise(F.coalesce(grew, F.lit(False)))
+
+
+def section_slice(start: Column, sections: int, window: int = 9, history: int = 19) -> tuple[Column, Column]:
+    """First position and length of contiguous frames for ``sections`` windows and their history."""
+    return (start * window).cast("long"), F.lit(history + window * sections).cast("long")
+
+
+def middle_frames(n: Column, k: int) -> Column:
+    """Middle of each of k intervals of 0..n-1; with fewer frames than k all of them, the last repeated."""
+    cut = lambda i: F.floor(n * i / k)
+    middle = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor((cut(i) + cut(i + 1) - 1) / 2))
+    padded = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.least(i.cast("long"), n.cast("long") - 1))
+    return F.when(n >= k, middle).otherwise(padded)
+
+
+def window_mean(values: Column, start: int, stop: int) -> Column:
+    """Mean of values[start:stop]; null where it is empty."""
+    part = F.slice(values, start + 1, max(0, stop - start))
+    return F.when(F.size(part) > 0, F.aggregate(part, F.lit(0.0), lambda a, x: a + x) / F.size(part))

@@ -140,3 +140,23 @@ def test_fifo_stream(spark, tmp_path):
     q = state.fifo_buffers(stream, "k", "v", 4).writeStream.outputMode("update").format("memory").queryName("fifo").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert max(r["size"] for r in spark.sql("select * from fifo").collect()) == 4
+
+
+def test_curation_operators(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first()[0]
+    vals = lambda *v: F.array(*map(F.lit, v)).cast("array<double>")
+    assert one(series.window_mean(vals(1, 2, 3, 4), 1, 3)) == 2.5 and one(series.window_mean(vals(1, 2), 2, 5)) is None
+    assert one(series.middle_frames(F.lit(10), 2)) == [2, 7] and one(series.middle_frames(F.lit(2), 4)) == [0, 1, 1, 1]
+    assert one(series.sampled_theil_sen(vals(*[3.0 * i for i in range(50)]), 20)) == 3.0
+    assert one(series.sampled_theil_sen(vals(1.0))) is None
+    assert [one(series.runaway(*map(F.lit, q))) for q in [(1.0, 2.0, 3.0, 8), (1.0, 4.0, 3.0, 8), (0.0, 1.0, 3.0, 8), (1.0, 2.0, 3.0, 3)]] == [True, False, False, False]
+    assert [one(scalars.metric_number(F.lit(x))) for x in ("true", "false", "1.5", "x")] == [1.0, 0.0, 1.5, None]
+    none = F.lit(None).cast("string")
+    assert one(ranking.pick_version(F.array(none, F.lit("a")), F.lit(1))) == "a" and one(ranking.pick_version(F.array(none, none), F.lit(1))) is None
+    assert one(ranking.resolve_alias(F.lit(" View "), {"view": "aesthetic"})) == "aesthetic"
+    left, side = spark.createDataFrame([(1,), (2,)], "k long"), spark.createDataFrame([(1, "a")], "k long, v string")
+    with pytest.raises(Exception, match="no v for 2"):
+        rows.strict_lookup(left, side, "k", "v").collect()
+    got = rows.require_version(left, side.withColumn("ver", F.lit("long")), "k", "ver", "long", "v")
+    assert {(r.k, r.reason) for r in got.collect()} == {(1, None), (2, "no_cap")}
+    assert rows.where_equal(left, {"k": 2}).count() == 1 and rows.where_equal(left, {"k": "avg"}).count() == 2
