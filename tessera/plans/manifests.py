@@ -183,7 +183,7 @@ def _(t):
     c = c.withColumn("starts", F.array(F.lit(0).cast("long"), c1, c2)).withColumn("ends", F.array(c1, c2, F.col("frames")))
     c = c.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("frames") / 33) - 1)))
     lo = F.col("chunk") * 33
-    return c.select("clip", "chunk", rows.interval_owner(lo, lo + 33, F.col("starts"), F.col("ends")).alias("event"))
+    return c.select("clip", "chunk", rows.interval_owner(lo, lo + 33, F.col("starts"), F.col("ends")).cast("int").alias("event"))
 
 
 @query("JN14_prompt_by_index", "select c_custkey as k, coalesce(n_name, '') as prompt from customer left join nation on c_custkey = n_nationkey")
