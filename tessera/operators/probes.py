@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.vectors import total
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once and not for every element of an array that use walks over."""
+    return F.transform(F.array(value), use)[0]
+
+
 def softmax(scores: Column) -> Column:
     """Shares of one query over its keys; null or empty scores stay so."""
-    high = F.array_max(scores)
-    e = F.transform(scores, lambda x: F.exp(x - high))
-    return F.transform(e, lambda x: x / total(e))
+    powers = _once(F.array_max(scores), lambda high: F.transform(scores, lambda x: F.exp(x - high)))
+    return _once(powers, lambda e: _once(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def segment_mass(df: DataFrame, group: str, shares: str, segments: dict[str, tuple[int, int]]) -> DataFrame:
