@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, language_id, mixing, pseudonyms, simhash
+from tessera.llm import bpe, language_id, mixing, pseudonyms, set_join
 from tessera.llm.common import shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,8 +27,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of each group of near copies."""
-    groups = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """Keep the document of smallest id of each group of near copies: five-word Jaccard likeness of 0.8 or more."""
+    groups = set_join.components(docs).groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     kept = docs.select(*COLUMNS).join(groups, "doc_id", "left_semi")
     return kept.union(docs.select(*COLUMNS).where("doc_id is null"))
 
@@ -52,7 +52,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", identify_language),
-    ("simhash_dedup", drop_near_copies),
+    ("near_dedup", drop_near_copies),
     ("pseudonyms", replace_personal_data),
     ("mixing", mix_sources),
     ("bpe", encode),

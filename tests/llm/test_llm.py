@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, common, embed_dedup, language_id, mixing, pseudonyms, queries, simhash, substring_dedup, token_counts, warc, winnow
+from tessera.llm import bpe, common, embed_dedup, language_id, mixing, pseudonyms, queries, set_join, simhash, substring_dedup, token_counts, warc, winnow
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "  \t\n ", "en", "a", 5), (4, "x" * 30000, "en", "a", 30000), (5, "a b c", None, None, 5), (5, "a b c", None, None, 5), (None, "a b c d e f g", "fr", "b", 13)]
@@ -415,6 +415,55 @@ def test_long_chain_is_one_component(spark):
     assert len(got) == n and {r["component"] for r in got} == {0}
 
 
+# --- near-duplicates by likeness
+
+def brute_sets(texts):
+    """Least index reachable from each text over five-word likeness of 0.8 or more."""
+    def grams(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [grams(t) for t in texts]
+    link = np.array([[not (a or b) or 5 * len(a & b) >= 4 * len(a | b) > 0 for b in sets] for a in sets])
+    lab = np.arange(len(sets))
+    while True:
+        new = np.where(link, lab[None], len(sets)).min(1)
+        if (new == lab).all():
+            return lab
+        lab = new
+
+
+@pytest.mark.parametrize("cap, common", [(4096, 65536), (5, 3)])
+def test_likeness_matches_brute_force(spark, odd, cap, common, monkeypatch):
+    monkeypatch.setattr(set_join, "COMMON", common)
+    rng = random.Random(3)
+    base, texts = [rng.choice(VOCAB) for _ in range(150)], [r[1] for r in corpus()]
+    for i in range(60):  # near copies on both sides of 0.8, and a chain of them
+        words = list(base)
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(len(words))] = f"new{rng.random()}"
+        texts.append(" ".join(words))
+        if i % 3 == 0:
+            base[rng.randrange(len(base))] = f"step{i}"
+    texts += [None, "", "A b c", "a B c"]
+    got = set_join.components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), cap=cap).collect()
+    least = defaultdict(lambda: len(texts))
+    for r in got:
+        least[r["component"]] = min(least[r["component"]], r["doc_id"])
+    assert [least[r["component"]] for r in sorted(got)] == brute_sets(texts).tolist()
+    assert set_join.components(odd).count() == len(ODD) and set_join.components(odd.limit(0)).count() == 0
+
+
+def test_pipeline_drops_near_copies_over_four_bits(spark):
+    import corpus_pipeline
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, rows, "").collect()}
+    own = rows.collect()
+    assert kept == {own[i]["doc_id"] for i in set(brute_sets([r["text"] for r in own]).tolist())}
+    assert 1 in kept and 177 not in kept  # likeness 0.83, fingerprints nine bits apart
+
+
 # --- queries and pipeline
 
 def test_queries_cover_their_tables(spark):
