@@ -40,14 +40,18 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the order of the mix; every source is kept whole."""
+    """Documents in the order of the mix, which mix_position tells; every source is kept whole."""
     rows = mixing.interleave(docs.select(*COLUMNS))
-    return rows.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*COLUMNS)
+    return rows.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*COLUMNS, "mix_position")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document and the text they decode to."""
-    return bpe.encode_decode(docs)
+    """Token ids of every document and the text they decode to, in the order of the mix."""
+    if "mix_position" not in docs.columns:
+        return bpe.encode_decode(docs)
+    # files are not read in the order of their names
+    rows = docs.repartitionByRange("mix_position").sortWithinPartitions("mix_position")
+    return bpe.encode_decode(rows, carry="mix_position")
 
 
 STAGES = [

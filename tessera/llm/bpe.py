@@ -173,9 +173,9 @@ def vocabulary(path: str) -> WordBPE:
     return WordBPE(path)
 
 
-def encode_decode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids array<int>, decoded) per row."""
-    return _run(docs, doc_id, text, path, False)
+def encode_decode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, carry: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids array<int>, decoded) per row, in the order of the rows; a column of longs to ``carry`` comes last."""
+    return _run(docs, doc_id, text, path, False, carry)
 
 
 def encode_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
@@ -183,9 +183,10 @@ def encode_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return _run(docs, doc_id, text, path, True)
 
 
-def _run(docs: DataFrame, doc_id: str, text: str, path: str | None, digests: bool) -> DataFrame:
+def _run(docs: DataFrame, doc_id: str, text: str, path: str | None, digests: bool, carry: str | None = None) -> DataFrame:
     tune(docs.sparkSession)
     path = path or default_vocabulary()
+    more = [carry] if carry else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
@@ -197,8 +198,8 @@ def _run(docs: DataFrame, doc_id: str, text: str, path: str | None, digests: boo
                 yield pa.RecordBatch.from_arrays([b.column(0), n, sha(0), sha(1)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
             else:
                 ids = pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i, _ in got], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column(0), n, ids, pa.array([d.decode() for _, d in got], pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([b.column(0), n, ids, pa.array([d.decode() for _, d in got], pa.string()), *b.columns[2:]], ["doc_id", "n_tokens", "ids", "decoded", *more])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *(F.col(c).cast("long") for c in more))
     last = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return rows.mapInArrow(run, f"doc_id long, n_tokens long, {last}")
+    return rows.mapInArrow(run, ", ".join([f"doc_id long, n_tokens long, {last}", *(f"{c} long" for c in more)]))

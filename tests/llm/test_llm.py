@@ -491,6 +491,20 @@ def test_pipeline_matches_its_parts(spark):
     assert got == {r["doc_id"]: len(lib.encode(r["text"], add_special_tokens=False).ids) for r in fresh}
 
 
+def test_pipeline_keeps_the_order_of_the_mix(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # several files at each stage
+    try:
+        got = [(r["mix_position"], r["doc_id"]) for r in corpus_pipeline.run(spark, sf).select("mix_position", "doc_id").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    kept = spark.read.parquet(f"{sf}/documents.parquet").where(F.col("doc_id").isin([i for _, i in got]))
+    mixed = corpus_pipeline.mix_sources(spark, kept, sf).select("mix_position", "doc_id").orderBy("mix_position")
+    assert got == [(r["mix_position"], r["doc_id"]) for r in mixed.collect()]
+
+
 def test_pipeline_stages_take_an_empty_table(spark, odd):
     import corpus_pipeline
 
