@@ -62,6 +62,17 @@ def _(t):
     return series.ordered_values(t.series.where("i < 30"), "user_id", "i", "value").select("user_id", r4(series.sampled_theil_sen(F.col("series"), 60, 3), 5).alias("slope"))
 
 
+@query("AGG21_theil_sen_sampled_whole", f"""with {SERIES}, v as (select user_id, list(value order by i) as v from series group by 1),
+  p as (select user_id, v, k, (('0x' || substr(md5('3:' || k || ':a'), 1, 8))::bigint % len(v))::int as a, (('0x' || substr(md5('3:' || k || ':b'), 1, 8))::bigint % len(v))::int as b
+    from v, (select unnest(range(0, 4000)) as k) where len(v) * (len(v) - 1) / 2 > 4000),
+  e as (select user_id, v, unnest(range(0, len(v))) as a from v where len(v) * (len(v) - 1) / 2 <= 4000),
+  s as (select user_id, (v[b + 1] - v[a + 1]) / (b - a) as s from p where a <> b union all
+    select user_id, (v[b + 1] - v[a + 1]) / (b - a) from (select user_id, v, a, unnest(range(a + 1, len(v))) as b from e))
+  select v.user_id, round(median(s), 5) as slope from v left join s on v.user_id = s.user_id group by 1""")
+def _(t):
+    return series.ordered_values(t.series, "user_id", "i", "value").select("user_id", r4(series.sampled_theil_sen(F.col("series"), 4000, 3), 5).alias("slope"))
+
+
 @query("AGG22_total_rating", "select l_returnflag as k, round(sum(case when l_quantity <= 40 then l_quantity * l_linenumber else 0 end), 4) as total from lineitem group by 1")
 def _(t):
     g = t.lineitem.select(F.col("l_returnflag").alias("k"), F.when(F.col("l_quantity") <= 40, F.col("l_quantity").cast("double")).alias("m"), F.col("l_linenumber").alias("w"))

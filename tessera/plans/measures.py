@@ -109,6 +109,12 @@ def _(t):
     return series.ordered_values(t.series.where("i < 30"), "user_id", "i", "value").select("user_id", r4(series.theil_sen(F.col("series")), 5).alias("slope"))
 
 
+@query("AGG20_theil_sen_whole", f"""with {SERIES} select a.user_id, round(median((b.value - a.value) / (b.i - a.i)), 5) as slope
+  from series a join series b on a.user_id = b.user_id and a.i < b.i group by 1""")
+def _(t):
+    return series.ordered_values(t.series, "user_id", "i", "value").where(F.size("series") > 1).select("user_id", r4(series.theil_sen(F.col("series")), 5).alias("slope"))
+
+
 _W = {"click": 0.2, "view": 0.3, "purchase": 0.5}
 
 

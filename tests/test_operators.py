@@ -160,3 +160,20 @@ def test_curation_operators(spark):
     got = rows.require_version(left, side.withColumn("ver", F.lit("long")), "k", "ver", "long", "v")
     assert {(r.k, r.reason) for r in got.collect()} == {(1, None), (2, "no_cap")}
     assert rows.where_equal(left, {"k": 2}).count() == 1 and rows.where_equal(left, {"k": "avg"}).count() == 2
+
+
+def test_theil_sen_of_whole_series(spark, tmp_path):
+    from statistics import median
+
+    from tessera.plans import catalogue
+
+    steep = {1: 40, 2: 89, 3: 99}  # values of each user; the slope turns after the first 20
+    rows = [(u * 1000 + i, u, i, "click", 1.0 * i if i < 20 else 20.0 - 3 * (i - 20) - 0.01 * i * i) for u, n in steep.items() for i in range(n)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    series = {u: [r[4] for r in rows if r[1] == u] for u in steep}
+    exact = {u: median((b - a) / (j - i) for i, a in enumerate(v) for j, b in enumerate(v) if i < j) for u, v in series.items()}
+    got = {r["user_id"]: r["slope"] for r in catalogue.queries()["AGG20_theil_sen_whole"](spark, str(tmp_path)).collect()}
+    assert got == {u: pytest.approx(x, abs=1e-5) for u, x in exact.items()}
+    sampled = {r["user_id"]: r["slope"] for r in catalogue.queries()["AGG21_theil_sen_sampled_whole"](spark, str(tmp_path)).collect()}
+    assert all(sampled[u] == pytest.approx(exact[u], abs=1e-5) for u in (1, 2))  # up to 4,000 pairs
+    assert sampled[3] == pytest.approx(exact[3], rel=0.1)
