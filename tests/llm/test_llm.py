@@ -491,6 +491,17 @@ def test_pipeline_matches_its_parts(spark):
     assert got == {r["doc_id"]: len(lib.encode(r["text"], add_special_tokens=False).ids) for r in fresh}
 
 
+def test_pipeline_keeps_one_row_of_a_group(spark):
+    import corpus_pipeline
+
+    long = " ".join(VOCAB[:60])
+    rows = [(7, long), (7, long), (7, long + " end"), (9, long), (None, long), (None, "q r s t u v"), (None, "q r s t u v"), (None, None), (3, ""), (3, "other words")]
+    df = spark.createDataFrame([(i, t, None, "a", 1) for i, t in rows], DOCS).repartition(5)
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()), key=repr)
+    assert len(got) == 4 and (None, "q r s t u v") in got and (3, "other words") in got and (3, "") in got
+    assert sum(i == 7 for i, _ in got) == 1
+
+
 def test_pipeline_keeps_the_order_of_the_mix(spark):
     import corpus_pipeline
 
