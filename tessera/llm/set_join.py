@@ -10,9 +10,11 @@ text's component is what links reach.
    n - ceil(0.8 n) + 1, so only those are dealt by hash. Frequencies come from
    a bounded sample; they steer only the size of the groups, since any one
    order finds every pair.
-3. *Stars.* Each group's sets are paired with one of it. What lengths and
-   positions allow is verified on the whole sets, and the links contracted, so
-   a large group of near copies never expands into all its pairs.
+3. *Stars.* Each group's sets are paired with one of it. What lengths,
+   positions and parities allow is verified on the whole sets, and the links
+   contracted, so a large group of near copies never expands into all its
+   pairs. Parities: of the hashes that fall on each of 512 bits, odd or even;
+   each bit in which two sets differ takes a hash that only one of them has.
 4. *The rest.* Pairs of a group in different components so far are verified the
    same way, groups over ``GROUP_CAP`` in tiles that hold all their pairs.
 
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, cut, map_groups, tiled, tune
+from tessera.llm.common import connected_components, cut, map_groups, release, tiled, tune
 from tessera.llm.simhash import _hashes
 
 WORDS = 5
@@ -41,6 +43,7 @@ LIKENESS = 0.8
 SAMPLE = 16384
 COMMON = 65536
 GROUP_CAP = 4096
+PARITY_BITS = 512
 #: Bits of the filter that spares texts whose sets are not needed again.
 FILTER_BITS = 1 << 22
 
@@ -66,6 +69,12 @@ def prefix(own: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray
     return own[np.lexsort((own, rank))][: n - (4 * n + 4) // 5 + 1]
 
 
+def parities(own: np.ndarray) -> bytes:
+    """Whether an odd number of a set's hashes falls on each of ``PARITY_BITS``."""
+    odd = np.bincount((own % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
 def _longs(x: list[int] | np.ndarray) -> pa.Array:
     return pa.array(np.asarray(x, np.uint64).view(np.int64))
 
@@ -91,9 +100,26 @@ def _common(rows: DataFrame, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     return gram[order], n[order]
 
 
-def _needed(sets: DataFrame, members: DataFrame) -> np.ndarray:
-    """A filter by text hash: one text of every set that has a group."""
-    texts = sets.join(members.select("rep").distinct(), "rep").groupBy("rep").agg(F.min("text_hash").alias("h"))
+def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs (src, dst) whose parities differ in no more bits than alike sets can."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(-1, PARITY_BITS // 64) for i in (3, 4))
+            keep = pa.array(9 * np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= b.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["src", "dst"])
+
+    own = sets.groupBy("rep").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
+    a = own.select(F.col("rep").alias("src"), F.col("n").alias("n"), F.col("bits").alias("x"))
+    b = own.select(F.col("rep").alias("dst"), F.col("n").alias("m"), F.col("bits").alias("y"))
+    both = pairs.join(a, "src").join(b, "dst").select("src", "dst", (F.col("n") + F.col("m")).alias("n"), "x", "y")
+    return cut(both.mapInArrow(run, "src long, dst long"))
+
+
+def _needed(sets: DataFrame, pairs: DataFrame) -> np.ndarray:
+    """A filter by text hash: one text of every set that has a pair."""
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("rep")).distinct()
+    texts = sets.join(ends, "rep").groupBy("rep").agg(F.min("text_hash").alias("h"))
     bits = texts.select(F.col("h").bitwiseAND(FILTER_BITS - 1).alias("b"))
     maps = bits.groupBy(F.shiftright("b", 15).alias("at")).agg(F.bitmap_construct_agg(F.col("b").bitwiseAND(32767)).alias("map"))
     out = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
@@ -102,8 +128,23 @@ def _needed(sets: DataFrame, members: DataFrame) -> np.ndarray:
     return np.unpackbits(out.reshape(-1), bitorder="little").astype(bool)
 
 
-def _verify(pairs: DataFrame, grams: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
     """Those pairs (src, dst) whose whole sets are alike enough."""
+    pairs = _possible(pairs, sets)
+    needed = rows.sparkSession.sparkContext.broadcast(_needed(sets, pairs))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        for b in batches:
+            h = b.column(0).to_numpy()
+            for i in np.flatnonzero(needed.value[h & (FILTER_BITS - 1)]):
+                if h[i] not in done:
+                    done.add(h[i])
+                    own = shingles(b.column(1)[i].as_py())
+                    yield pa.RecordBatch.from_arrays([_longs([_name(own)]), pa.array([own.tobytes()], pa.binary())], ["rep", "grams"])
+
+    grams = cut(rows.select("text_hash", "text").mapInArrow(again, "rep long, grams binary").dropDuplicates(["rep"]))
+    release(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -116,7 +157,7 @@ def _verify(pairs: DataFrame, grams: DataFrame) -> DataFrame:
 
     a = grams.select(F.col("rep").alias("src"), F.col("grams").alias("x"))
     b = grams.select(F.col("rep").alias("dst"), F.col("grams").alias("y"))
-    return pairs.join(a, "src").join(b, "dst").select("src", "dst", "x", "y").mapInArrow(run, "src long, dst long")
+    return cut(pairs.join(a, "src").join(b, "dst").select("src", "dst", "x", "y").mapInArrow(run, "src long, dst long"))
 
 
 def _ordered(a: str, b: str) -> list[Column]:
@@ -131,10 +172,11 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cap:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rep = [_name(shingles(t)) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _longs(rep)], ["doc_id", "text_hash", "rep"])
+            own = [shingles(t) for t in b.column(2).to_pylist()]
+            rest = [_longs([_name(x) for x in own]), pa.array([len(x) for x in own], pa.int64()), pa.array([parities(x) for x in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *rest], ["doc_id", "text_hash", "rep", "n", "bits"])
 
-    sets = cut(rows.mapInArrow(sign, "doc_id long, text_hash long, rep long"))
+    sets = cut(rows.mapInArrow(sign, "doc_id long, text_hash long, rep long, n long, bits binary"))
     common = context.broadcast(_common(rows, sets.count()))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,28 +191,20 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cap:
 
     def several(group: pa.Table) -> pa.Table | None:
         _, at = np.unique(group["rep"].to_numpy(), return_index=True)
+        if 1 < len(at) <= 1024:  # only those that lengths and positions let link to another
+            n, pos = group["n"].to_numpy()[at], group["pos"].to_numpy()[at]
+            own = np.minimum(pos[:, None], pos) + np.minimum((n - pos)[:, None], n - pos)
+            at = at[(9 * own >= 4 * (n[:, None] + n)).sum(1) > 1]
         return group.take(pa.array(at)) if len(at) > 1 else None
 
     schema = "gram long, rep long, n long, pos long"
     members = cut(map_groups(rows.select("text").mapInArrow(deal, schema), ["gram"], several, schema))
-    needed = context.broadcast(_needed(sets, members))
-
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
-        for b in batches:
-            h = b.column(0).to_numpy()
-            for i in np.flatnonzero(needed.value[h & (FILTER_BITS - 1)]):
-                if h[i] not in done:
-                    done.add(h[i])
-                    own = shingles(b.column(1)[i].as_py())
-                    yield pa.RecordBatch.from_arrays([_longs([_name(own)]), pa.array([own.tobytes()], pa.binary())], ["rep", "grams"])
-
-    grams = cut(rows.select("text_hash", "text").mapInArrow(again, "rep long, grams binary").dropDuplicates(["rep"]))
+    release(docs.sparkSession)
 
     hubs = members.groupBy("gram").agg(F.min(F.struct(F.xxhash64("rep", "gram").alias("x"), "rep", "n", "pos")).alias("hub"))
     star = members.join(hubs, "gram").where(F.col("rep") != F.col("hub.rep"))
     star = star.where(_may_link(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
-    first = cut(_verify(star.select(*_ordered("rep", "hub.rep")).distinct(), grams))
+    first = _verify(star.select(*_ordered("rep", "hub.rep")).distinct(), sets, rows)
 
     reached = connected_components(first, "rep", "root")
     left = members.join(reached, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
@@ -190,6 +224,6 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cap:
 
     dealt = tiled(left, ["gram"], "rep", cap).select("gram", "tile", "rep", "n", "pos", "root")
     rest = map_groups(dealt, ["gram", "tile"], cross, "src long, dst long").distinct()
-    links = first.union(cut(_verify(rest, grams)))
+    links = first.union(_verify(rest, sets, rows))
     found = connected_components(links, "rep", "component")
     return sets.join(found, "rep", "left").select("doc_id", "text_hash", F.coalesce("component", "rep").alias("component"))
