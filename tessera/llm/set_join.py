@@ -191,10 +191,14 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cap:
 
     def several(group: pa.Table) -> pa.Table | None:
         _, at = np.unique(group["rep"].to_numpy(), return_index=True)
-        if 1 < len(at) <= 1024:  # only those that lengths and positions let link to another
+        if len(at) > 1:  # only those that lengths and positions let link to another
             n, pos = group["n"].to_numpy()[at], group["pos"].to_numpy()[at]
-            own = np.minimum(pos[:, None], pos) + np.minimum((n - pos)[:, None], n - pos)
-            at = at[(9 * own >= 4 * (n[:, None] + n)).sum(1) > 1]
+            may = np.zeros(len(at), bool)
+            for i in range(0, len(at), 32):
+                to = slice(i, i + 32)
+                own = np.minimum(pos[to, None], pos) + np.minimum((n - pos)[to, None], n - pos)
+                may[to] = (9 * own >= 4 * (n[to, None] + n)).sum(1) > 1
+            at = at[may]
         return group.take(pa.array(at)) if len(at) > 1 else None
 
     schema = "gram long, rep long, n long, pos long"
