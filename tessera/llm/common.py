@@ -17,13 +17,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch handed to Python; long texts make larger ones heavy.
+#: Rows and bytes of one Arrow batch handed to Python; long texts make larger ones heavy.
 ARROW_ROWS = 512
+ARROW_BYTES = 8 << 20
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches small, since single texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Keep Arrow batches small, since single texts may be very long.
+
+    Both settings are read when a plan runs, so they stay set in the session;
+    tighter ones of the caller are left alone.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,6 +82,22 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = 100_000) -> DataFrame
     return F.broadcast(df) if rows <= limit else df
 
 
+def lookup(df: DataFrame, values: DataFrame, keys: list[str], size: str, cap: int = 100_000, how: str = "inner") -> DataFrame:
+    """``df`` joined with ``values``, which has one row for each of its ``keys``, however often a key occurs in ``df``.
+
+    The column ``size`` of ``values`` counts the rows of ``df`` with the key.
+    Keys of over ``cap`` rows, of which there are at most rows / cap, are
+    joined by broadcast if there are at most 100,000 of them, the others by
+    shuffle, so no task gets all rows of a frequent key.
+    """
+    hot = cut(values.where(F.col(size) > cap))
+    n = hot.count()
+    if not 0 < n <= 100_000:
+        return df.join(values.drop(size), keys, how)
+    rest = df.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return df.join(F.broadcast(hot.drop(size)), keys).unionByName(rest.join(values.where(F.col(size) <= cap).drop(size), keys, how))
+
+
 def release(spark: SparkSession) -> None:
     """Have Spark drop the shuffle files and checkpoints of tables no longer referred to."""
     gc.collect()

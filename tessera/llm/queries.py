@@ -43,7 +43,7 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.interleave(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixing.interleave(table(spark, sf_dir, "documents"), weights=mixing.TARGET_WEIGHTS)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

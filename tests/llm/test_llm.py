@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and odd rows."""
 
 import base64
+import functools
 import hashlib
 import math
 import random
@@ -276,25 +277,71 @@ def test_period_matches_simulation(spark, shares):
         assert all(abs(n - t * k / sum(shares)) < 1 for n, k in zip(done, shares))
 
 
+def simulated(blocks, weights):
+    """(source, block) of each slot, step by step; when a source ends the others start anew."""
+    base, done, t, out = [0] * len(blocks), [0] * len(blocks), 0, []
+    while len(out) < sum(blocks):
+        live = [i for i in range(len(blocks)) if base[i] + done[i] < blocks[i]]
+        total = functools.reduce(lambda a, i: a + weights[i], live, 0.0)  # sum() would compensate
+        gap = [total / w for w in weights]
+        i = min((math.floor(done[i] * gap[i]) > t, math.ceil((done[i] + 1) * gap[i]), i) for i in live)[2]
+        out.append((i, base[i] + done[i]))
+        done[i] += 1
+        t += 1
+        if base[i] + done[i] == blocks[i]:
+            base, done, t = [x + y for x, y in zip(base, done)], [0] * len(blocks), 0
+    return out
+
+
+def placed(spark, blocks, weights, chunk=mixing.CHUNK):
+    sizes = spark.createDataFrame([(f"={i:03}", n) for i, n in enumerate(blocks)], "source_key string, blocks long")
+    rows = mixing.schedule(sizes, {f"={i:03}": w for i, w in enumerate(weights)}, chunk).orderBy("slot").collect()
+    assert [r["slot"] for r in rows] == list(range(len(rows)))
+    return [(int(r["source_key"][1:]), r["block"]) for r in rows]
+
+
+@pytest.mark.parametrize("blocks, weights", [([30000, 60000], [1 / 3, 2 / 3]), ([60, 119940], [0.0005, 0.9995]), ([4000] * 12, [1 / (1 + i) for i in range(12)])])
+def test_mix_stays_within_a_block_of_the_true_weights(spark, blocks, weights):
+    total, done = sum(weights), np.zeros(len(blocks))
+    for t, (i, block) in enumerate(placed(spark, blocks, weights), 1):
+        assert block == done[i]
+        done[i] += 1
+        assert np.abs(done - t * np.array(weights) / total).max() < 1
+        if done[i] == blocks[i] or t == 60000:
+            break
+    assert t >= 10000
+
+
+@pytest.mark.parametrize("chunk", [7, 1024])
+def test_mix_matches_simulation_when_sources_end(spark, chunk):
+    for blocks, weights in (([5, 40, 12, 1], [0.5, 0.2, 0.2, 0.1]), ([9], [0.3]), ([3, 3, 3], [1, 1, 1]), ([50, 2, 31], [0.7, 0.0011, 0.29])):
+        assert placed(spark, blocks, weights, chunk) == simulated(blocks, weights)
+
+
 def test_mix_keeps_rows_and_weights(spark):
     rows = [(i, "a" if i % 10 < 6 else "b" if i % 10 < 9 else None) for i in range(3000)]
-    df = spark.createDataFrame(rows, "doc_id long, source string").withColumn("mix_slot", F.lit("clash"))
-    got = mixing.interleave(df, weights={"a": 0.5, "b": 0.25, "zzz": 9.0}, block_rows=4, period=20).orderBy("mix_position").collect()
+    clash = {c: F.lit("clash") for c in ("mix_slot", "h", "bucket", "source_key", "n", "slots", "_b")}
+    df = spark.createDataFrame(rows, "doc_id long, source string").withColumns(clash)
+    got = mixing.interleave(df, weights={"a": 0.5, "b": 0.25, "zzz": 9.0}, block_rows=4, bucket_rows=7).orderBy("mix_position").collect()
     assert sorted(r["doc_id"] for r in got) == list(range(3000)) and len({r["mix_position"] for r in got}) == 3000
-    share = {"a": 13, "b": 7, None: 1}  # of 20 slots by weight, one for a source without weight
+    assert {r[c] for r in got for c in clash if c != "mix_slot"} == {"clash"}
     slots = {}
     for r in got:
-        slots.setdefault(r["mix_slot"], r["source"])
-        assert slots[r["mix_slot"]] == r["source"]
-    done = dict.fromkeys(share, 0)
-    total = sum(share.values())
-    for t in range(1, 200):
-        done[slots[t - 1]] += 1
-        assert all(abs(done[s] - t * share[s] / total) < 1 for s in share)
+        assert slots.setdefault(r["mix_slot"], (r["source"], r["source_block"])) == (r["source"], r["source_block"])
+    order, names = simulated([75, 450, 225], [0.25, 0.5, 0.25]), [None, "a", "b"]  # no weight: the least one
+    assert [slots[t] for t in range(len(order))] == [(names[i], block) for i, block in order]
+
+
+def test_mix_spreads_null_and_repeated_ids(spark):
+    rows = [(None if i % 3 else 5, "a", i) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_chars long")
+    got = mixing.interleave(df, block_rows=4, bucket_rows=10).collect()
+    assert len({r["mix_position"] for r in got}) == 900 and {r["n_chars"] for r in got} == set(range(900))
 
 
 def test_mix_odd(spark, odd):
     assert mixing.interleave(odd).count() == len(ODD)
+    assert mixing.interleave(odd.union(odd)).select("mix_position").distinct().count() == 2 * len(ODD)
     assert mixing.interleave(odd.limit(0)).count() == 0
 
 
