@@ -45,7 +45,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the order of the mix, which mix_position tells; every source is kept whole."""
-    rows = mixing.interleave(docs.select(*COLUMNS))
+    rows = mixing.interleave(docs.select(*COLUMNS), weights=mixing.TARGET_WEIGHTS)
     return rows.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*COLUMNS, "mix_position")
 
 
