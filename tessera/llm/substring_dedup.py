@@ -5,29 +5,33 @@
 1. *Anchors.* Each window of 50 words has an anchor, the least hash of its
    13-word sequences. Equal windows have equal anchors, so a window can repeat
    in another document only if its anchor does; one aggregation by anchor
-   finds those. About one word in twenty is an anchor.
+   finds those. About one word in twenty is an anchor. Anchors of very many
+   windows are looked up by broadcast, so none gathers its rows in one task.
 2. *Suffixes.* The words from a candidate window's start are a suffix cut at
    50 words, written as five symbols, hashes of ten words each, which fit into
-   two longs.
+   two longs. A word's hash is XXH3 of its bytes.
 3. *Prefixes.* Suffixes are grouped by their first symbol. Where a group would
    exceed ``GROUP_CAP`` rows, the prefix grows by a symbol, up to the whole
    suffix; what is then still too large are suffixes that are equal throughout,
    and those are dealt to salts. Groups thus fit in memory whatever repeats.
-4. *Subtrees.* A group's suffixes are sorted; the common-prefix lengths of
-   neighbours give the subtree's internal nodes. Its deep internal nodes, those
-   at full depth, are repeats: a leaf whose node holds a smaller doc_id is a
-   repeated window. Of a salted node the leaves with the least doc_id of each
-   salt are settled by one more aggregation.
-5. The repeated windows go back to their documents, which lose the words that
-   any of them covers.
+4. *Subtrees.* A group's sorted suffixes become a tree from the root down: the
+   children of a node are its leaves by their next symbol. Nodes whose leaves
+   are all of one document are not gone into, so only branches that may repeat
+   grow. Deep internal nodes, those of 50 words, are what repeats: a leaf under
+   a node that holds a smaller doc_id starts a repeated window. Of a salted
+   node the leaves with the least doc_id of each salt are settled by one more
+   aggregation.
+5. Neighbouring leaves of a document under deep nodes join to its maximal
+   repeats, spans that no repeated window exceeds; the document loses them.
 
 The five symbols have 128 bits; a false repeat needs equal hashes of all five
 ten-word sequences at once.
 
 Cases: a null text has no words, as an empty one. A null doc_id is larger than
 any other: its row loses what others hold and takes nothing from them. Rows
-that share a doc_id never take words from one another. Texts under 50 words
-stay whole. An empty table gives an empty result; other columns are ignored.
+that share a doc_id, or have none, never take words from one another; 64 bits
+of their texts tell them apart. Texts under 50 words stay whole. An empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,10 +42,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, drop_table, maybe_broadcast, release, spool, tune
+from tessera.llm.common import cut, drop_table, lookup, maybe_broadcast, release, spool, tune
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WINDOW, BLOCK, GRAM = 50, 10, 13
@@ -84,6 +89,14 @@ def _spans(v: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np
     return _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def _word_hashes(letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """XXH3 of words that stand one after another; each distinct one is hashed once."""
+    edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(letters))]).dictionary_encode()
+    own = np.array([xxhash.xxh3_64_intdigest(w) for w in words.dictionary.to_pylist()], np.uint64)
+    return own[words.indices.to_numpy()] if len(own) else own
+
+
 class Words:
     """Word hashes of several texts and where each text's words begin."""
 
@@ -92,7 +105,7 @@ class Words:
         blank = (data == 32) | ((data >= 9) & (data <= 13))
         edge = np.flatnonzero(np.diff(np.concatenate([[True], blank]).astype(np.int8)))
         starts, ends = edge[::2], edge[1::2]
-        self.hash = _spans(data.astype(np.uint64) + np.uint64(1), starts, ends, 0x100000001B3)
+        self.hash = _word_hashes(data[~blank], ends - starts)
         offset = np.cumsum([0] + [len(t) + 1 for t in texts])
         self.first = np.searchsorted(starts, offset)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
@@ -167,29 +180,42 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if own:
                     keep[edge[i] : edge[i + 1]] = np.isin(anchor[edge[i] : edge[i + 1]], np.array(own, np.int64))
             at = w.window[keep]
-            place = (np.array(row, np.int64)[w.doc[at]] << 32) + (at - w.first[w.doc[at]])
-            cols = [ids[w.doc[at]], place, *w.symbols(at)]
+            pos = (at - w.first[w.doc[at]]).astype(np.int32)
+            cols = [ids[w.doc[at]], np.array(row, np.int64)[w.doc[at]], pos, *w.symbols(at)]
             for i in range(0, len(at), 16384):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 16384]) for c in cols], ["doc", "place", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 16384]) for c in cols], ["doc", "row", "pos", "a", "b"])
 
 
-def deep_nodes(symbols: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Full-depth nodes of the tree over sorted suffixes: (node of each suffix, least doc of its node).
+class SubTree:
+    """Suffix tree over one group's sorted suffixes, grown from the root where leaves of two documents meet.
 
-    Neighbours' common-prefix length in symbols tells where internal nodes
-    begin; a run of neighbours that agree on all symbols is a node as deep as
-    the window. Suffixes must come sorted by their symbols.
+    ``levels`` lists the internal nodes of each depth, in symbols, as
+    (parent, first leaf, leaves, least doc); ``leaf`` are the leaves that hang
+    under deep nodes, those as deep as the window, and ``node`` their nodes
+    there. Leaves in ``keep`` are followed even where no other document is.
     """
-    n = len(doc)
-    lcp = np.zeros(n, np.int64)
-    same = np.ones(max(0, n - 1), bool)
-    for s in symbols:
-        same &= s[1:] == s[:-1]
-        lcp[1:] += same
-    start = lcp < len(symbols)
-    node = np.cumsum(start) - 1
-    least = np.minimum.reduceat(doc, np.flatnonzero(start)) if n else doc
-    return node, least[node] if n else doc
+
+    def __init__(self, symbols: list[np.ndarray], doc: np.ndarray, keep: np.ndarray | None = None):
+        keep = np.zeros(len(doc), bool) if keep is None else keep
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.leaf, self.node = np.arange(len(doc)), np.zeros(len(doc), np.int64)
+        for symbol in symbols:
+            if not len(self.leaf):
+                break
+            own, parent = symbol[self.leaf], self.node
+            edge = np.ones(len(own), bool)
+            edge[1:] = (own[1:] != own[:-1]) | (parent[1:] != parent[:-1])
+            at = np.flatnonzero(edge)
+            low, high = np.minimum.reduceat(doc[self.leaf], at), np.maximum.reduceat(doc[self.leaf], at)
+            live = (low < high) | np.logical_or.reduceat(keep[self.leaf], at)
+            sizes = np.diff(np.append(at, len(own)))
+            self.levels.append((parent[at][live], self.leaf[at][live], sizes[live], low[live]))
+            under = np.repeat(live, sizes)
+            self.leaf, self.node = self.leaf[under], np.repeat(np.cumsum(live) - 1, sizes)[under]
+
+    def deep(self) -> tuple[np.ndarray, np.ndarray]:
+        """(leaf, least doc of its deep node)."""
+        return self.leaf, self.levels[-1][3][self.node] if len(self.leaf) else self.leaf
 
 
 def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,15 +224,16 @@ def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def tree(t: pa.Table) -> pa.RecordBatch | None:
         a, b = (t[k].to_numpy() for k in keys)
-        doc, place = t["doc"].to_numpy(), t["place"].to_numpy()
-        node, least = deep_nodes(symbols_of(a, b), doc)
-        head = (least == doc) & (place < 0)
-        hit = (least < doc) | head
+        doc, row, pos = (t[k].to_numpy() for k in ("doc", "row", "pos"))
+        leaf, least = SubTree(symbols_of(a, b), doc, pos < 0).deep()
+        head = (least == doc[leaf]) & (pos[leaf] < 0)
+        hit = (least < doc[leaf]) | head
         if not hit.any():
             return None
-        out = [doc[hit], place[hit] & np.int64(NO_ID), head[hit]]
-        only = [pa.array(x[hit], mask=~head[hit]) for x in (a, b)]
-        return pa.RecordBatch.from_arrays([*map(pa.array, out), *only], ["doc", "place", "head", "a", "b"])
+        leaf, head = leaf[hit], head[hit]
+        out = [doc[leaf], row[leaf], pos[leaf] & np.int32(0x7FFFFFFF), head]
+        only = [pa.array(x[leaf], mask=~head) for x in (a, b)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, out), *only], ["doc", "row", "pos", "head", "a", "b"])
 
     held: pa.Table | None = None
     for b in batches:
@@ -240,20 +267,20 @@ def repeated_windows(docs: DataFrame, cap: int = GROUP_CAP) -> DataFrame:
     """(doc, row, found): of each text the starts of windows of 50 words whose sequence also starts in a
     document of smaller id; -1 stands for all of them.
 
-    ``docs`` has columns doc (no nulls), row (a positive integer that tells texts of one id apart) and text.
+    ``docs`` has columns doc (no nulls), row (a long that tells texts of one id apart) and text.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # copies
     names = cut(docs.select("doc", "row", F.md5("text").alias("name")))
-    first = names.groupBy("name").agg(F.min("doc").alias("first"))
-    copies = cut(names.join(first, "name").where("first < doc").select("doc", "row").distinct())
+    first = names.groupBy("name").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = cut(lookup(names, first, ["name"], "n").where("first < doc").select("doc", "row").distinct())
     # anchors
     anchors = docs.select("doc", "text", "row").mapInArrow(_anchor_rows, "anchor long, doc long, row long")
     anchors, anchors_at = spool(anchors.join(copies, ["doc", "row"], "left_anti"))
-    twice = anchors.groupBy("anchor").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y").select("anchor")
-    per_doc = anchors.join(twice, "anchor").groupBy("doc", "row").agg(F.collect_set("anchor").alias("found"))
-    raw, raw_at = spool(docs.join(per_doc, ["doc", "row"]).select("doc", "text", "found", "row").mapInArrow(_suffix_rows, "doc long, place long, a long, b long"))
+    twice = anchors.groupBy("anchor").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y").select("anchor", "n")
+    per_doc = lookup(anchors, twice, ["anchor"], "n").groupBy("doc", "row").agg(F.collect_set("anchor").alias("found"))
+    raw, raw_at = spool(docs.join(per_doc, ["doc", "row"]).select("doc", "text", "found", "row").mapInArrow(_suffix_rows, "doc long, row long, pos int, a long, b long"))
     drop_table(spark, anchors_at)
     del anchors, twice, per_doc, names, first
     release(spark)
@@ -277,19 +304,18 @@ def repeated_windows(docs: DataFrame, cap: int = GROUP_CAP) -> DataFrame:
     prefix = F.lit(0).cast("long")
     for d in range(1, SYMBOLS + 1):
         prefix = F.when(depth == d, F.xxhash64(*_prefix(d))).otherwise(prefix)
-    salt = F.when(salts > 0, F.pmod(F.xxhash64("doc", "place"), salts)).otherwise(F.lit(0))
+    salt = F.when(salts > 0, F.pmod(F.xxhash64("doc", "row", "pos"), salts)).otherwise(F.lit(0))
     grouped = suffixes.repartition(n, prefix, salt)
-    # the sign of place marks the suffixes of a salted group
-    place = F.when(salts > 0, F.col("place").bitwiseOR(F.lit(-1 << 63))).otherwise(F.col("place")) if salted else F.col("place")
-    grouped = grouped.select("doc", place.alias("place"), "a", "b").sortWithinPartitions("a", "b")
-    leaves = grouped.mapInArrow(_tree_rows, "doc long, place long, head boolean, a long, b long")
+    # the sign of pos marks the suffixes of a salted group
+    pos = F.when(salts > 0, F.col("pos").bitwiseOR(F.lit(-1 << 31))).otherwise(F.col("pos")) if salted else F.col("pos")
+    grouped = grouped.select("doc", "row", pos.alias("pos"), "a", "b").sortWithinPartitions("a", "b")
+    leaves = grouped.mapInArrow(_tree_rows, "doc long, row long, pos int, head boolean, a long, b long")
     found = leaves
     if salted:  # of a node that was dealt to salts, the least document of each salt may still repeat that of another
         leaves = cut(leaves)
         heads = leaves.where("head")
         least = heads.groupBy("a", "b").agg(F.min("doc").alias("least"))
-        found = leaves.where("not head").select("doc", "place").union(heads.join(least, ["a", "b"]).where("least < doc").select("doc", "place"))
-    found = found.select("doc", F.shiftright("place", 32).alias("row"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
+        found = leaves.where("not head").select("doc", "row", "pos").union(heads.join(least, ["a", "b"]).where("least < doc").select("doc", "row", "pos"))
     found = found.groupBy("doc", "row").agg(F.collect_set("pos").alias("found"))
     out = cut(found.union(copies.select("doc", "row", F.array(F.lit(-1)))))
     drop_table(spark, raw_at)
@@ -298,44 +324,71 @@ def repeated_windows(docs: DataFrame, cap: int = GROUP_CAP) -> DataFrame:
     return out
 
 
+def _spans_of(n: int, found: list[int] | None) -> list[tuple[int, int]]:
+    """Maximal repeats (start, words) of a text of ``n`` words, given where repeated windows start."""
+    if not found or n < WINDOW:
+        return []
+    if found == [-1]:
+        return [(0, n)]
+    at = np.sort(np.array(found))
+    new = np.flatnonzero(np.diff(at, prepend=-WINDOW - 1) > WINDOW)  # else windows meet or overlap
+    last = np.append(new[1:] - 1, len(at) - 1)
+    return [(int(at[i]), int(at[j] - at[i]) + WINDOW) for i, j in zip(new, last)]
+
+
 def _keep(text: str | None, found: list[int] | None) -> tuple[int, list[str]]:
     words = WORD.findall(text or "")
-    if not found:
-        return len(words), words
-    cover = np.zeros(len(words) + 1, np.int64)
-    if found == [-1]:
-        return len(words), [] if len(words) >= WINDOW else words
-    at = np.array(found)
-    np.add.at(cover, at, 1)
-    np.add.at(cover, np.minimum(at + WINDOW, len(words)), -1)
-    stay = np.cumsum(cover)[:-1] == 0
-    return len(words), [words[i] for i in np.flatnonzero(stay)]
+    kept, at = [], 0
+    for start, size in _spans_of(len(words), found):
+        kept += words[at:start]
+        at = start + size
+    return len(words), kept + words[at:] if at else words
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) per row."""
-    return _removed(docs, doc_id, text, False)
+
+    def finish(got: list[tuple], spans: list) -> list[pa.Array]:
+        return [*_numbers(got), pa.array([" ".join(k) for _, k in got], pa.string())]
+
+    return _removed(docs, doc_id, text, finish, "n_words long, n_removed long, kept_text string")
 
 
 def remove_repeats_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) per row, for callers that compare."""
-    return _removed(docs, doc_id, text, True)
 
+    def finish(got: list[tuple], spans: list) -> list[pa.Array]:
+        return [*_numbers(got), pa.array([hashlib.sha256(" ".join(k).encode()).hexdigest() for _, k in got], pa.string())]
 
-def _removed(docs: DataFrame, doc_id: str, text: str, digest: bool) -> DataFrame:
+    return _removed(docs, doc_id, text, finish, "n_words long, n_removed long, kept_sha256 string")
+
+
+def maximal_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, start, n_words): the spans of words that each row loses, counted from 0; other rows give none."""
+
+    def finish(got: list[tuple], spans: list) -> list[pa.Array]:
+        return [pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64())])))]
+
+    rows = _removed(docs, doc_id, text, finish, "spans array<struct<start:long,n_words:long>>")
+    return rows.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.n_words")
+
+
+def _numbers(got: list[tuple]) -> list[pa.Array]:
+    return [pa.array([n for n, _ in got], pa.int64()), pa.array([n - len(k) for n, k in got], pa.int64())]
+
+
+def _removed(docs: DataFrame, doc_id: str, text: str, finish, schema: str) -> DataFrame:
     tune(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text"), F.shiftrightunsigned(F.xxhash64(F.col(text)), 33).alias("row"))
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("row"))
     both = rows.join(repeated_windows(rows), ["doc", "row"], "left")
+    names = ["doc_id", *(c.split()[0] for c in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            ids = pa.array(ids, mask=ids == NO_ID)
-            got = [_keep(t, f) for t, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            text_of = [" ".join(k) for _, k in got]
-            n = pa.array([n for n, _ in got], pa.int64())
-            lost = pa.array([n - len(k) for n, k in got], pa.int64())
-            last = [hashlib.sha256(t.encode()).hexdigest() for t in text_of] if digest else text_of
-            yield pa.RecordBatch.from_arrays([ids, n, lost, pa.array(last, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256" if digest else "kept_text"])
-
-    return both.select("doc", "text", "found").mapInArrow(run, f"doc_id long, n_words long, n_removed long, {'kept_sha256' if digest else 'kept_text'} string")
+            found = b.column(2).to_pylist()
+            got = [_keep(t, f) for t, f in zip(b.column(1).to_pylist(), found)]
+            spans = [[{"start": x, "n_words": y} for x, y in _spans_of(n, f)] for (n, _), f in zip(got, found)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NO_ID), *finish(got, spans)], names)
+
+    return both.select("doc", "text", "found").mapInArrow(run, "doc_id long, " + schema)

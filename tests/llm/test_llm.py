@@ -188,6 +188,40 @@ def test_repeats_odd(spark, odd):
     assert substring_dedup.remove_repeats(odd.limit(0)).count() == 0
 
 
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+def test_repeats_tell_like_hashed_words_apart(spark):
+    head = " ".join(VOCAB[:49])
+    rows = [(1, f"{head} {thue_morse(2048)}"), (2, f"{head} {thue_morse(2048).translate(str.maketrans('ab', 'ba'))}")]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["n_words"], r["n_removed"]) for r in got} == {(1, 50, 0), (2, 50, 0)}
+
+
+def test_repeats_of_rows_without_id(spark):
+    text = " ".join(VOCAB[:70])
+    rows = [(4, text)] + [(None, f"n{i} " * (i % 7 + 1) + text if i % 2 else f"n{i} " * 60) for i in range(400)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = sorted((len(t.split()), 0 if i is not None or text not in t else 70) for i, t in rows)
+    assert sorted((r["n_words"], r["n_removed"]) for r in got) == want
+
+
+def test_maximal_repeats_and_their_tree(spark, docs):
+    got = sorted(tuple(r) for r in substring_dedup.maximal_repeats(docs).collect())
+    text = {r["doc_id"]: substring_dedup.WORD.findall(r["text"]) for r in docs.collect()}
+    removed = {i: n for i, _, n, _ in brute_removed([(i, " ".join(w)) for i, w in text.items()])}
+    assert {i: sum(n for j, _, n in got if j == i) for i in text} == removed
+    for i, start, n in got:
+        seq = text[i][start : start + 50]
+        assert n >= 50 and any(seq == w[j : j + 50] for k, w in text.items() if k < i for j in range(len(w) - 49))
+    symbols = [np.array(x, np.uint64) for x in ([1, 1, 1, 1, 2, 3, 3], [1, 1, 2, 2, 5, 1, 1])]
+    tree = substring_dedup.SubTree(symbols, np.array([7, 3, 4, 4, 1, 9, 2]))
+    assert [list(level[0]) for level in tree.levels] == [[0, 0], [0, 1]]  # parents
+    assert [list(level[1]) for level in tree.levels] == [[0, 5], [0, 5]] and [list(level[2]) for level in tree.levels] == [[4, 2], [2, 2]]
+    assert [list(x) for x in tree.deep()] == [[0, 1, 5, 6], [3, 3, 2, 2]]
+
+
 # --- pseudonyms
 
 def luhn(d):
