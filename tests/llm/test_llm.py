@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and odd rows."""
 
 import base64
+import datetime
 import functools
 import hashlib
 import math
@@ -244,6 +245,118 @@ def test_pseudonyms_keep_form_and_links(spark):
     assert mail != "a.Bc9" and mail + "@" in b
 
 
+def keyed(tweak, i, half):
+    return int(hashlib.sha256(f"{pseudonyms.KEY}|{tweak}|{i}|{half}".encode()).hexdigest()[:15], 16)
+
+
+def plain_feistel(left, right, n_left, n_right, tweak):
+    for i in range(1, 9):
+        if i % 2:
+            left = (left + keyed(tweak, i, right)) % n_left
+        else:
+            right = (right + keyed(tweak, i, left)) % n_right
+    return left, right
+
+
+def plain_digits(d, tweak):
+    a = len(d) // 2
+    b = len(d) - a
+    x, y = plain_feistel(int(d[:a]), int(d[a:]), 10**a, 10**b, tweak)
+    return f"{x:0{a}}{y:0{b}}"
+
+
+def plain_letters(s, tweak):
+    """Strings of ASCII letters and digits."""
+    def move(mine, other, i):
+        stream = hashlib.sha256(f"{pseudonyms.KEY}|{tweak}|{i}|{len(mine)}|{other}".encode()).hexdigest()
+        out = ""
+        for k, c in enumerate(mine):
+            by = int(stream[k % 21 * 3 : k % 21 * 3 + 3], 16)
+            for first, n in (("a", 26), ("A", 26), ("0", 10)):
+                if 0 <= ord(c) - ord(first) < n:
+                    c = chr(ord(first) + (ord(c) - ord(first) + by) % n)
+                    break
+            out += c
+        return out
+
+    left, right = s[: len(s) // 2], s[len(s) // 2 :]
+    for i in range(1, 9):
+        if i % 2:
+            left = move(left, right, i) if left else left
+        else:
+            right = move(right, left, i)
+    return left + right
+
+
+def mod97(s):
+    return int("".join(str(int(c, 36)) for c in s)) % 97
+
+
+def test_pseudonyms_match_a_plain_feistel(spark):
+    rng = random.Random(2)
+    day0 = datetime.date(1900, 1, 1)
+    pairs = []
+    for _ in range(30):
+        body = "".join(rng.choice("0123456789") for _ in range(15))
+        with_check = lambda b: next(b + c for c in "0123456789" if luhn(b + c))
+        pairs.append((with_check(body), with_check(plain_digits(body, "card"))))
+        o = [rng.randrange(256) for _ in range(4)]
+        x, y = plain_feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "ip")
+        pairs.append((".".join(map(str, o)), f"{x >> 8}.{x % 256}.{y >> 8}.{y % 256}"))
+        n = rng.randrange(73049)
+        x, y = plain_feistel(n // 319, n % 319, 229, 319, "date")
+        pairs.append((str(day0 + datetime.timedelta(n)), str(day0 + datetime.timedelta(x * 319 + y))))
+        areas = [a for a in range(1, 900) if a != 666]
+        a, g, k = rng.choice(areas), rng.randint(1, 99), rng.randint(1, 9999)
+        x, y = plain_feistel(areas.index(a) * 99 + g - 1, k - 1, 898 * 99, 9999, "ssn")
+        pairs.append((f"{a:03}-{g:02}-{k:04}", f"{areas[x // 99]:03}-{x % 99 + 1:02}-{y + 1:04}"))
+        a, r = rng.randint(200, 999), rng.randint(2_000_000, 9_999_999)
+        x, y = plain_feistel(a - 200, r - 2_000_000, 800, 8_000_000, "phone")
+        r, y = f"{r:07}", f"{y + 2_000_000:07}"
+        pairs.append((f"({a}) {r[:3]}-{r[3:]}", f"({x + 200}) {y[:3]}-{y[3:]}"))
+        d = "".join(rng.choice("123456789") for _ in range(10))
+        f = d[0] + plain_digits(d[1:], "abroad")
+        pairs.append((f"+44 {d[:2]} {d[2:6]} {d[6:]}", f"+44 {f[:2]} {f[2:6]} {f[6:]}"))
+        local = "".join(rng.choice("abcXYZ019._-") for _ in range(rng.randint(1, 20)))
+        pairs.append((f"{local}@example.org", f"{plain_letters(local, 'email')}@example.org"))
+        own = "".join(rng.choice("0123456789") for _ in range(18))
+        iban = lambda own: f"DE{98 - mod97(own + 'DE00'):02}{own}"
+        pairs.append((iban(own), iban(plain_letters(own, "iban"))))
+    df = spark.createDataFrame([(i, f"x {a}, y") for i, (a, _) in enumerate(pairs)], "doc_id long, text string")
+    got = [r["text"] for r in pseudonyms.pseudonymise(df).orderBy("doc_id").collect()]
+    assert got == [f"x {b}, y" for _, b in pairs]
+
+
+def test_pseudonyms_leave_no_real_value(spark):
+    card = "4111 1111 1111 1111"
+    cases = [
+        (f"{card} 12/27", card), (f"{card} 123", card), (f"no 12 {card}!", card), (f"AB12 {card}", card), ("5500-0000-0000-0004 999", "5500-0000-0000-0004"), ("378282246310005", "378282246310005"),
+        ("555 123 4567", "555 123 4567"), ("+44 20 7946 0958", "7946 0958"), ("+33 1 42 68 53 00", "42 68 53 00"), ("06 12 34 56 78", "34 56 78"), ("+49301234567", "301234567"),
+        ("мария@example.com", "мария"), ("José.Müller@exämple.de", "José"), ("日本語@example.jp", "日本語"), ("2001:db8:85a3:0:0:8a2e:370:7334", "85a3"), ("fe80::1ff:fe23:4567:890a", "4567"),
+        ("DE89 3704 0044 0532 0130 00 THE", "3704 0044"), ("GB82WEST12345698765432", "12345698"), ("BE68 5390 0754 7034 ABC", "5390 0754"),
+    ]
+    clean = ["DE88 3704 0044 0532 0130 00", "std::vector<int> 12:30:45", "100 200 3000", "1.2.3", "4111111111111112", "+1 2 3", "a::b"]
+    df = spark.createDataFrame([(i, t, "mine", "mine") for i, t in enumerate([c for c, _ in cases] + clean)], "doc_id long, text string, found string, fresh string")
+    rows = pseudonyms.pseudonymise(df).orderBy("doc_id").collect()
+    for r, (t, secret) in zip(rows, cases):
+        assert secret not in r["text"] and r["n_pii"] == 1 and len(r["text"]) == len(t), r
+        assert re.sub(r"\w", "", r["text"]) == re.sub(r"\w", "", t)
+    assert [r["text"] for r in rows[len(cases) :]] == clean and {r["n_pii"] for r in rows[len(cases) :]} == {0}
+    assert {(r["found"], r["fresh"]) for r in rows} == {("mine", "mine")}
+    area = re.match(r"(\d{3}) (\d{3})", next(r["text"] for r in pseudonyms.pseudonymise(spark.createDataFrame([("217 555 7713",)], "text string")).collect()))
+    assert int(area[1]) >= 200 and int(area[2]) >= 200
+
+
+def test_pseudonyms_take_the_key_of_the_session(spark):
+    df = spark.createDataFrame([("a.b@example.com",)], "text string")
+    spark.conf.set(pseudonyms.SECRET, "other")
+    try:
+        own = pseudonyms.pseudonymise(df).first()["text"]
+    finally:
+        spark.conf.unset(pseudonyms.SECRET)
+    assert own == pseudonyms.pseudonymise(df, key="other").first()["text"] != pseudonyms.pseudonymise(df).first()["text"]
+
+
 def test_pseudonyms_are_permutations(spark):
     rows = spark.range(2000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("d"), F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), (F.col("id") * 36).cast("int")), "yyyy-MM-dd").alias("t"))
     got = rows.select(pseudonyms.permute_digits(F.col("d"), "k", "t").alias("d"), pseudonyms.pseudonym(F.col("t")).alias("t")).distinct()
