@@ -43,8 +43,8 @@ SECRET = "spark.tessera.pseudonyms.secret"
 #: Pattern of each kind, in order of precedence.
 _HEX = "[0-9A-Fa-f]{1,4}"
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,8}\.\p{L}{2,24}(?!\p{L})",
-    "ip6": rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_HEX}:){{7}}{_HEX}|{_HEX}(?::{_HEX}){{0,5}}::{_HEX}(?::{_HEX}){{0,5}})(?![\p{{L}}\p{{N}}:])",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,8}\.\p{L}{2,24}(?!\p{L})",
+    "ip6": rf"(?<![\p{{L}}\p{{N}}:.])(?={_HEX}:)(?:(?:{_HEX}:){{7}}{_HEX}|{_HEX}(?::{_HEX}){{0,5}}::{_HEX}(?::{_HEX}){{0,5}})(?![\p{{L}}\p{{N}}:])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "date": r"(?<![\d.])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/])",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
@@ -57,7 +57,10 @@ PATTERNS = {
 }
 #: Between the characters of a string.
 CHARS = r"(?!^|\z)"
-ANY = "(?:" + "|".join(PATTERNS.values()) + ")"
+LETTERED = ("email", "ip6", "iban")
+#: Kinds that begin with a letter, then the others, tried only where a digit, a plus sign or a bracket stands.
+ANY = "(?:" + "|".join(PATTERNS[k] for k in LETTERED) + "|(?=[0-9+(])(?:" + "|".join(v for k, v in PATTERNS.items() if k not in LETTERED) + "))"
+MARK = "\x01"
 
 #: Runs of letters beyond ASCII, by first code point and length: Latin, Greek, Cyrillic, Hebrew, Arabic, Devanagari, kana, CJK, Hangul.
 RUNS = (
@@ -314,14 +317,15 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None) ->
         key = KEY
     t = F.col(text)
     docs = docs.drop("n_pii")
-    old, new = unused(docs, "found", "fresh")
-    found = F.when(t.rlike(r"[0-9@]"), F.regexp_extract_all(t, F.lit(f"({ANY})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    rows = docs.withColumn(old, F.coalesce(found, F.array().cast("array<string>")))
-    rows = rows.withColumn(new, F.transform(old, lambda m: pseudonym(m, key)))
-    gaps = F.split(t, ANY, -1)
-    filled = F.array_join(F.flatten(F.zip_with(gaps, F.col(new), lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))), "")
-    changed = F.size(F.filter(F.zip_with(old, new, lambda a, b: a != b), lambda x: x))
+    old, new = unused(docs, "pieces", "fresh")
+    # gaps and found values in turn; texts that hold the mark themselves are searched twice
+    marked = F.split(F.regexp_replace(t, f"({ANY})", f"{MARK}$1{MARK}"), MARK, -1)
+    twice = F.flatten(F.zip_with(F.split(t, ANY, -1), F.regexp_extract_all(t, F.lit(f"({ANY})"), F.lit(1)), lambda g, m: F.array(g, F.coalesce(m, F.lit("")))))
+    pieces = F.when(t.rlike("[0-9@]|::"), F.when(t.contains(MARK), twice).otherwise(marked))
+    rows = docs.withColumn(old, pieces)
+    rows = rows.withColumn(new, F.transform(old, lambda m, i: F.when((i % 2 == 1) & (m != ""), pseudonym(m, key)).otherwise(m)))
+    changed = F.coalesce(F.size(F.filter(F.zip_with(old, new, lambda a, b: a != b), lambda x: x)).cast("long"), F.lit(0).cast("long"))
     return rows.select(
-        *(F.when(F.size(old) > 0, filled).otherwise(t).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns),
-        changed.cast("long").alias("n_pii"),
+        *(F.when(F.size(old) > 1, F.array_join(F.col(new), "")).otherwise(t).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns),
+        F.greatest(changed, F.lit(0).cast("long")).alias("n_pii"),
     )

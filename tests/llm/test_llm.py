@@ -335,7 +335,8 @@ def test_pseudonyms_leave_no_real_value(spark):
         ("мария@example.com", "мария"), ("José.Müller@exämple.de", "José"), ("日本語@example.jp", "日本語"), ("2001:db8:85a3:0:0:8a2e:370:7334", "85a3"), ("fe80::1ff:fe23:4567:890a", "4567"),
         ("DE89 3704 0044 0532 0130 00 THE", "3704 0044"), ("GB82WEST12345698765432", "12345698"), ("BE68 5390 0754 7034 ABC", "5390 0754"),
     ]
-    clean = ["DE88 3704 0044 0532 0130 00", "std::vector<int> 12:30:45", "100 200 3000", "1.2.3", "4111111111111112", "+1 2 3", "a::b"]
+    cases += [("\x01 555 123 4567", "555 123 4567"), ("\x01+44 20 7946 0958", "7946 0958")]
+    clean = ["\x01", "a\x012\x01b", "DE88 3704 0044 0532 0130 00", "std::vector<int> 12:30:45", "100 200 3000", "1.2.3", "4111111111111112", "+1 2 3", "a::b"]
     df = spark.createDataFrame([(i, t, "mine", "mine") for i, t in enumerate([c for c, _ in cases] + clean)], "doc_id long, text string, found string, fresh string")
     rows = pseudonyms.pseudonymise(df).orderBy("doc_id").collect()
     for r, (t, secret) in zip(rows, cases):
