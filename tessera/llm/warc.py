@@ -5,15 +5,20 @@ the one with the smallest id becomes a ``response`` record and the others
 ``revisit`` records that refer to it. Each task packs its records into archive
 files of bounded size in the shared folder, publishing a file by rename.
 
-Reading: an archive is decompressed incrementally, member by member; headers
-are parsed as they arrive, the block is framed by Content-Length and the
-block and payload digests are verified.
+Reading: a task opens the archives listed for it and reads them as streams.
+Members are inflated piece by piece and framed as they come: header fields up
+to the empty line, then as many bytes of block as Content-Length says, digested
+on the way, then the two line ends, then the member must end. Memory is that
+of one record. Block and payload digests are verified, and the number of
+records against the list of archives.
 
 Cases: a null payload is written as an empty one; a null id becomes ``null``
-in the record id and stays null; a repeated id with the same payload yields
-one record per row, all but one of a payload's rows with the smallest id
-being revisits only if their id is larger; an empty table writes no archive
-and reads as an empty result. A damaged record raises ``WarcError``.
+in the record id and stays null, a null url has no field and stays null. Rows
+that repeat an id yield a record each; those of a payload's smallest id are
+all responses, since no larger id is there to revisit from. An empty table
+writes no archive and reads as an empty result. A damaged record, an archive
+that ends within a member and one with fewer or more records than listed
+raise ``WarcError``.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ from pyspark.sql import types as T
 from tessera.llm.common import shared_dir, tune
 
 ARCHIVE_BYTES = 8 << 20
+#: Bytes of a header at most.
+HEAD_BYTES = 1 << 20
 CRLF = b"\r\n"
 READ_SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
@@ -57,52 +64,119 @@ def record(page_id: int | None, url: str | None, kind: str, refers: int | None,
         ("WARC-Payload-Digest", "sha1:" + base64.b32encode(sha1).decode()), ("WARC-Block-Digest", "sha1:" + digest(block)),
         ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block))),
     ]
+    if url is None:
+        del fields[3]
     if kind == "revisit":
         fields[2:2] = [("WARC-Refers-To", name(refers)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
     head = b"WARC/1.1\r\n" + b"".join(f"{k}: {v}".encode() + CRLF for k, v in fields) + CRLF
     return gzip.compress(head + block + CRLF + CRLF, 6, mtime=0)
 
 
-def members(chunks: Iterator[bytes], piece: int = 1 << 16) -> Iterator[bytes]:
-    """Decompressed gzip members of a stream, one at a time, at most ``piece`` input bytes ahead."""
-    tail, inflate, got = b"", zlib.decompressobj(31), []
+def inflate(chunks: Iterator[bytes], piece: int = 1 << 16) -> Iterator[bytes | None]:
+    """Decompressed pieces of at most ``piece`` bytes of a stream of gzip members; None ends each member."""
+    z, begun = zlib.decompressobj(31), False
     for chunk in chunks:
-        for at in range(0, len(chunk), piece):
-            tail += chunk[at : at + piece]
-            while tail:
-                got.append(inflate.decompress(tail))
-                tail = inflate.unused_data if inflate.eof else b""
-                if inflate.eof:
-                    yield b"".join(got)
-                    inflate, got = zlib.decompressobj(31), []
-    if got and any(got):
+        while chunk:
+            begun = True
+            try:
+                out = z.decompress(chunk, piece)
+            except zlib.error as e:
+                raise WarcError(f"damaged member: {e}") from e
+            if out:
+                yield out
+            chunk = z.unused_data if z.eof else z.unconsumed_tail
+            if z.eof:
+                yield None
+                z, begun = zlib.decompressobj(31), False
+        while begun and (out := z.decompress(z.unconsumed_tail, piece)):
+            yield out
+            if z.eof:
+                yield None
+                z, begun = zlib.decompressobj(31), False
+    if begun:
         raise WarcError("the archive ends within a record")
 
 
+class Frame:
+    """One record, framed while its bytes arrive."""
+
+    def __init__(self):
+        self.head, self.fields, self.block, self.size, self.sha, self.end = bytearray(), None, bytearray(), 0, hashlib.sha1(), bytearray()
+
+    def feed(self, data: bytes) -> None:
+        if self.fields is None:
+            seen = max(0, len(self.head) - 3)
+            self.head += data
+            at = self.head.find(CRLF + CRLF, seen)
+            if at < 0:
+                if len(self.head) > HEAD_BYTES:
+                    raise WarcError("no record header")
+                return
+            data = bytes(self.head[at + 4 :])
+            lines = bytes(self.head[:at]).split(CRLF)
+            if not lines[0].startswith(b"WARC/"):
+                raise WarcError("no record header")
+            self.fields = {k.decode().lower(): v.strip().decode() for k, _, v in (x.partition(b":") for x in lines[1:])}
+            if not self.fields.get("content-length", "").isdigit():
+                raise WarcError("no Content-Length")
+            self.size = int(self.fields["content-length"])
+        own = data[: self.size - len(self.block)]
+        self.sha.update(own)
+        self.block += own
+        self.end += data[len(own) :]
+        if len(self.end) > 4:
+            raise WarcError("Content-Length does not frame the block")
+
+    def finish(self) -> dict:
+        """Fields of the whole record; framing and digests are verified."""
+        if self.fields is None:
+            raise WarcError("no record header")
+        if len(self.block) != self.size or self.end != CRLF + CRLF:
+            raise WarcError("Content-Length does not frame the block")
+        fields = self.fields
+        if fields.get("warc-block-digest") != "sha1:" + base64.b32encode(self.sha.digest()).decode():
+            raise WarcError("block digest differs")
+        http, _, payload = bytes(self.block).partition(CRLF + CRLF)
+        told = next((int(x.split(b":")[1]) for x in http.split(CRLF) if x.lower().startswith(b"content-length:")), -1)
+        said, kind = fields.get("warc-payload-digest", "").removeprefix("sha1:"), fields.get("warc-type")
+        if kind == "response" and (len(payload) != told or digest(payload) != said):
+            raise WarcError("payload digest or length differs")
+        number = lambda s: None if s is None or s == "null" else int(s)
+        bare = lambda s: None if s is None else s.removeprefix("<urn:page:").removesuffix(">")
+        return {
+            "page_id": number(bare(fields.get("warc-record-id"))), "url": fields.get("warc-target-uri"), "record_type": kind,
+            "refers_to": number(bare(fields.get("warc-refers-to"))), "payload_bytes": told, "payload_digest": said,
+            "payload": payload if kind == "response" else None,
+        }
+
+
+def records(chunks: Iterator[bytes], piece: int = 1 << 16) -> Iterator[dict]:
+    """Records of a stream of compressed bytes, one at a time."""
+    frame = Frame()
+    for out in inflate(chunks, piece):
+        if out is None:
+            yield frame.finish()
+            frame = Frame()
+        else:
+            frame.feed(out)
+
+
+def members(chunks: Iterator[bytes], piece: int = 1 << 16) -> Iterator[bytes]:
+    """Decompressed gzip members of a stream, one at a time."""
+    got: list[bytes] = []
+    for out in inflate(chunks, piece):
+        if out is None:
+            yield b"".join(got)
+            got = []
+        else:
+            got.append(out)
+
+
 def parse(member: bytes) -> dict:
-    """Fields of one record; framing and digests are verified."""
-    head, sep, rest = member.partition(CRLF + CRLF)
-    if not sep or not head.startswith(b"WARC/"):
-        raise WarcError("no record header")
-    fields = {k.decode().lower(): v.strip().decode() for k, _, v in (x.partition(b":") for x in head.split(CRLF)[1:])}
-    size = int(fields["content-length"])
-    block, end = rest[:size], rest[size:]
-    if len(block) != size or end != CRLF + CRLF:
-        raise WarcError("Content-Length does not frame the block")
-    if fields["warc-block-digest"] != "sha1:" + digest(block):
-        raise WarcError("block digest differs")
-    http, _, payload = block.partition(CRLF + CRLF)
-    told = next(int(x.split(b":")[1]) for x in http.split(CRLF) if x.lower().startswith(b"content-length:"))
-    said = fields["warc-payload-digest"].removeprefix("sha1:")
-    if fields["warc-type"] == "response" and (len(payload) != told or digest(payload) != said):
-        raise WarcError("payload digest or length differs")
-    number = lambda s: None if s is None or s == "null" else int(s)
-    bare = lambda s: None if s is None else s.removeprefix("<urn:page:").removesuffix(">")
-    return {
-        "page_id": number(bare(fields["warc-record-id"])), "url": fields["warc-target-uri"], "record_type": fields["warc-type"],
-        "refers_to": number(bare(fields.get("warc-refers-to"))), "payload_bytes": told, "payload_digest": said,
-        "payload": payload if fields["warc-type"] == "response" else None,
-    }
+    """Fields of one decompressed record."""
+    frame = Frame()
+    frame.feed(member)
+    return frame.finish()
 
 
 def plan_records(pages: DataFrame, page_id: str, payload: str, url: str | None = None, min_revisit_bytes: int = 0) -> DataFrame:
@@ -131,17 +205,18 @@ def write_warc(records: DataFrame, uri: str, archive_bytes: int = ARCHIVE_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(uri)
-        fs.create_dir(root, recursive=True)
         held: list[bytes] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            name = f"{root}/{uuid.uuid4().hex}"
+            own = uuid.uuid4().hex
+            fs.create_dir(f"{root}/{own[:2]}", recursive=True)  # no folder holds all archives
+            name = f"{root}/{own[:2]}/{own}"
             with fs.open_output_stream(name + ".tmp", compression=None) as out:
                 for x in held:
                     out.write(x)
             fs.move(name + ".tmp", name + ".warc.gz")
-            return pa.RecordBatch.from_pydict({"path": [name.rsplit("/", 1)[-1] + ".warc.gz"], "n_records": [len(held)], "bytes": [size]})
+            return pa.RecordBatch.from_pydict({"path": [f"{own[:2]}/{own}.warc.gz"], "n_records": [len(held)], "bytes": [size]})
 
         for batch in batches:
             for r in batch.to_pylist():
@@ -156,24 +231,31 @@ def write_warc(records: DataFrame, uri: str, archive_bytes: int = ARCHIVE_BYTES)
     return records.mapInArrow(run, "path string, n_records long, bytes long")
 
 
-def read_warc(archives: DataFrame, content: str = "content") -> DataFrame:
-    """Records of archives given as binary rows, e.g. of ``spark.read.format("binaryFile")``."""
+def read_warc(listed: DataFrame, uri: str) -> DataFrame:
+    """Records of the archives that ``listed`` names under ``uri`` (path, n_records), opened by the tasks that read them."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(uri)
         for batch in batches:
-            for data in batch.column(0):
-                out, size = [], 0
-                for m in members(iter([data.as_py() or b""])):
-                    out.append(parse(m))
-                    size += len(m)
-                    if size > 4 << 20:
-                        yield pa.RecordBatch.from_pylist(out, schema)
-                        out, size = [], 0
+            for path, told in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                out, size, seen = [], 0, 0
+                with fs.open_input_stream(f"{root}/{path}", compression=None) as stream:
+                    for r in records(iter(lambda: stream.read(1 << 18), b"")):  # noqa: B023
+                        out.append(r)
+                        seen += 1
+                        size += len(r["payload"] or b"")
+                        if size > 4 << 20 or len(out) >= 4096:
+                            yield pa.RecordBatch.from_pylist(out, schema)
+                            out, size = [], 0
+                if seen != told:
+                    raise WarcError(f"{path} holds {seen} records of {told}")
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema)
 
-    return archives.select(content).mapInArrow(run, READ_SCHEMA)
+    n = listed.count()
+    parts = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return listed.select("path", "n_records").repartition(max(1, min(n, max(parts, n // 64)))).mapInArrow(run, READ_SCHEMA)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, page_id: str = "page_id", payload: str = "html", url: str | None = "url", min_revisit_bytes: int = 0) -> DataFrame:
@@ -188,6 +270,4 @@ def round_trip(spark: SparkSession, pages: DataFrame, page_id: str = "page_id",
     names = spark.read.parquet(listed)
     if names.isEmpty():
         return spark.createDataFrame([], T._parse_datatype_string(READ_SCHEMA))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(uri)
-    files = files.withColumn("path", F.element_at(F.split("path", "/"), -1)).join(F.broadcast(names.select("path")), "path", "left_semi")
-    return read_warc(files)
+    return read_warc(names, uri)
