@@ -10,13 +10,19 @@ precision, and each verified pair is counted once: in the first table, and
 there the smallest bucket, in which it can meet, which a task can tell from
 the two vectors alone. So no list of pairs is shuffled; a bucket emits the
 links per vector and a spanning forest. Equal vectors of a label are one
-class with a weight. Buckets over ``BUCKET_CAP`` rows are split into tiles.
+class with a weight and a number of its own. Codes are worked out once and
+written down; buckets in which no two vectors meet, or that none of theirs
+calls its own, get no vectors. Buckets over ``BUCKET_CAP`` rows are split into
+tiles.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite
 components, and rows with a null label, link with nothing and are kept; they
 never count as links. Vectors of different lengths do not link. Rows that
-repeat an id count as vectors of their own. An empty table gives an empty
-result; other columns are ignored.
+repeat an id, of one label or several, count as vectors of their own, each with
+its own links and component; all rows with a component's smallest id are kept.
+A null id takes part; a component has a null id only if it has no other, and
+its rows are kept then. An empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, cut, local_roots, map_groups, tiled, tune
+from tessera.llm.common import connected_components, cut, drop_table, local_roots, lookup, map_groups, spool, tiled, tune
 
 THRESHOLD = 0.93
 TABLES = 6
@@ -87,9 +93,10 @@ def _matrix(col, rows: np.ndarray, d: int) -> np.ndarray:
     return col.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), d)
 
 
-def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, cell, cls, home): every bucket that a vector is stored in or queries."""
     for b in batches:
-        label, rep, n, vec = b.columns
+        label, cls, vec = b.columns
         sizes = vec.value_lengths().to_numpy(zero_copy_only=False).astype(int)
         for d in np.unique(sizes):
             own = np.flatnonzero(sizes == d)
@@ -98,14 +105,9 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for p in range(1, codes.shape[2]):
                 seen[:, :, p] = (codes[:, :, :p] == codes[:, :, p : p + 1]).any(2)
             at, t, p = np.nonzero(~seen)
-            for i in range(0, len(at), 8192):
-                a = slice(i, i + 8192)
-                take = pa.array(own[at[a]])
-                cell = (np.int64(d) << 40) + (t[a].astype(np.int64) << 32) + codes[at[a], t[a], p[a]]
-                yield pa.RecordBatch.from_arrays(
-                    [label.take(take), pa.array(cell), pa.array(p[a] == 0), rep.take(take), n.take(take), vec.take(take)],
-                    ["label", "cell", "home", "rep", "n", "vec"],
-                )
+            cell = (np.int64(d) << 40) + (t.astype(np.int64) << 32) + codes[at, t, p]
+            take = pa.array(own[at])
+            yield pa.RecordBatch.from_arrays([label.take(take), pa.array(cell), cls.take(take), pa.array(p == 0)], ["label", "cell", "cls", "home"])
 
 
 def _owned(codes: np.ndarray, a: np.ndarray, b: np.ndarray, table: int, code: int) -> np.ndarray:
@@ -125,7 +127,7 @@ def bucket_links(g: pa.Table, threshold: float = THRESHOLD) -> pa.Table | None:
         return None
     cell = int(g["cell"][0].as_py())
     d, table, code = cell >> 40, (cell >> 32) & 255, cell & 0xFFFFFFFF
-    rep, weight, side = g["rep"].to_numpy(), g["n"].to_numpy(), g["side"].to_numpy()
+    rep, weight, side = g["cls"].to_numpy(), g["n"].to_numpy(), g["side"].to_numpy()
     unit = unit_rows(g["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rep), d))
     links = np.zeros(len(rep), np.int64)
     codes: np.ndarray | None = None
@@ -169,15 +171,20 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     sound = v.isNotNull() & F.col("label").isNotNull() & F.coalesce(F.forall(v, finite) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(embedding).alias("vec"))
     rows = rows.withColumn("vec", F.when(sound, v))
-    classes = cut(rows.where("vec is not null").groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    dealt = classes.select("label", "rep", "n", "vec").where("rep is not null").mapInArrow(_deal, "label long, cell long, home boolean, rep long, n long, " + f"vec {dict(classes.dtypes)['vec']}")
-    dealt = tiled(dealt, ["label", "cell"], "rep", BUCKET_CAP)
-    found = cut(map_groups(dealt, ["label", "cell", "tile"], bucket_links, "kind int, a long, b long"))
-    counts = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("near"))
-    comp = connected_components(found.where("kind = 1").select(F.col("a").alias("src"), F.col("b").alias("dst")), "rep", "root")
-    per_class = classes.join(counts, "rep", "left").join(comp, "rep", "left").select(
-        "label", "vec", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id")
-    )
+    grouped = rows.where("vec is not null").groupBy("label", "vec").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    classes = cut(grouped.withColumn("cls", F.monotonically_increasing_id()))
+    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = classes.select("label", "cls", "vec").repartition(n, "cls").mapInArrow(_codes, "label long, cell long, cls long, home boolean")
+    codes, codes_at = spool(dealt)
+    cells = codes.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("any")).where("n > 1 and any").select("label", "cell", "n")
+    met = tiled(lookup(codes, cells, ["label", "cell"], "n"), ["label", "cell"], "cls", BUCKET_CAP).join(classes.select("cls", "n", "vec"), "cls")
+    found = cut(map_groups(met, ["label", "cell", "tile"], bucket_links, "kind int, a long, b long"))
+    drop_table(vectors.sparkSession, codes_at)
+    counts = found.where("kind = 0").groupBy(F.col("a").alias("cls")).agg(F.sum("b").alias("near"))
+    comp = connected_components(found.where("kind = 1").select(F.col("a").alias("src"), F.col("b").alias("dst")), "cls", "root")
+    own = cut(classes.join(counts, "cls", "left").join(comp, "cls", "left").select("label", "vec", "n", "first", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("root", "cls").alias("root")))
+    least = own.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    per_class = lookup(own, least, ["root"], "size").select("label", "vec", "n", "n_links", "component_id")
     lone = rows.where("vec is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    linked = rows.where("vec is not null").join(per_class, ["label", "vec"]).select("vec_id", "n_links", "component_id")
-    return linked.unionByName(lone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    linked = lookup(rows.where("vec is not null"), per_class, ["label", "vec"], "n").select("vec_id", "n_links", "component_id")
+    return linked.unionByName(lone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
