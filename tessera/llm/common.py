@@ -139,10 +139,12 @@ def connected_components(edges: DataFrame, node: str = "node", component: str =
     label = steps[0].select(F.col("src").alias(node), F.col("to").alias("at"))
     for step in steps[1:]:
         nxt = step.select(F.col("src").alias("at"), "to")
-        label = label.join(nxt, "at", "left").select(node, F.coalesce("to", "at").alias("at"))
+        label = cut(label)
+        nxt = label.groupBy("at").agg(F.count(F.lit(1)).alias("n")).join(nxt, "at")
+        label = lookup(label, nxt, ["at"], "n", how="left").select(node, F.coalesce("to", "at").alias("at"))
     label = cut(label)
-    least = label.groupBy("at").agg(F.min(node).alias(component))
-    return label.join(least, "at").select(node, component)
+    least = label.groupBy("at").agg(F.min(node).alias(component), F.count(F.lit(1)).alias("n"))
+    return lookup(label, least, ["at"], "n").select(node, component)
 
 
 def tiled(df: DataFrame, keys: list[str], member: str, cap: int) -> DataFrame:

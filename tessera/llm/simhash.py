@@ -9,9 +9,11 @@ each block gets a vantage-point tree: a node sends a fingerprint left if its
 distance to the vantage point is at most the node's median radius, else right,
 and by the triangle inequality a fingerprint within one bit beyond the radius
 is also queried against the left shard. Every linked pair thus meets in a leaf
-of some tree. Trees are built on a bounded sample, which steers only the
-balance of the shards, never which pairs are found. Leaves over ``LEAF_CAP``
-rows are split into tiles of sub-blocks that hold all their pairs.
+of some tree. Trees are built on a sample, which steers only the balance of
+the shards, never which pairs are found; it grows with the fingerprints, one of
+``SHARE``, from ``SAMPLE`` to ``SAMPLE_MOST`` (8 MB). Leaves over ``LEAF_CAP``
+rows are split into tiles of sub-blocks that hold all their pairs. The deal is
+written down once.
 
 Only links of a spanning forest leave a leaf, so groups of near copies never
 expand into all their pairs. Distinct fingerprints are compared once; copies
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, cut, map_groups, tiled, tune
+from tessera.llm.common import connected_components, cut, drop_table, lookup, map_groups, spool, tiled, tune
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SEED = 42
@@ -44,6 +46,8 @@ MAX_BITS = 4
 BLOCKS = (0x00000000001FFFFF, 0x000003FFFFE00000, 0xFFFFFC0000000000)
 RADIUS = MAX_BITS // len(BLOCKS)
 SAMPLE = 16384
+SAMPLE_MOST = 1 << 20
+SHARE = 16
 LEAF = 1024
 LEAF_CAP = 8192
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -158,8 +162,9 @@ def leaf_links(fps: np.ndarray, bits: int = MAX_BITS) -> tuple[np.ndarray, np.nd
     return (np.concatenate(member), np.concatenate(root)) if member else (np.zeros(0, int), np.zeros(0, int))
 
 
-def links(distinct: DataFrame, n_distinct: int, sample_rows: int = SAMPLE, leaf: int = LEAF, cap: int = LEAF_CAP) -> DataFrame:
+def links(distinct: DataFrame, n_distinct: int, sample_rows: int | None = None, leaf: int = LEAF, cap: int = LEAF_CAP) -> DataFrame:
     """Links (src, dst) that connect exactly what all pairs within MAX_BITS connect."""
+    sample_rows = sample_rows or min(SAMPLE_MOST, max(SAMPLE, n_distinct // SHARE))
     picked = [r[0] for r in distinct.orderBy(F.xxhash64("fp", F.lit(11)), "fp").limit(sample_rows).collect()]
     sample = np.array(picked, np.int64).view(np.uint64)
     depth = int(np.ceil(np.log(max(1, n_distinct / leaf)) / np.log(1.7)))
@@ -175,23 +180,27 @@ def links(distinct: DataFrame, n_distinct: int, sample_rows: int = SAMPLE, leaf:
                     r, x = rows[at : at + 65536], leaves[at : at + 65536]
                     yield pa.RecordBatch.from_arrays([pa.array(x * 4 + i), pa.array(own[r].view(np.int64))], ["leaf", "fp"])
 
-    dealt = tiled(distinct.select("fp").mapInArrow(deal, "leaf long, fp long"), ["leaf"], "fp", cap)
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves, leaves_at = spool(distinct.select("fp").repartition(parts, "fp").mapInArrow(deal, "leaf long, fp long"))
+    dealt = tiled(leaves, ["leaf"], "fp", cap)
 
     def link(group: pa.Table) -> pa.Table | None:
         own = group["fp"].to_numpy()
         member, root = leaf_links(own.view(np.uint64))
         return pa.table({"src": own[member], "dst": own[root]}) if len(member) else None
 
-    return map_groups(dealt.select("leaf", "tile", "fp"), ["leaf", "tile"], link, "src long, dst long")
+    found = cut(map_groups(dealt.select("leaf", "tile", "fp"), ["leaf", "tile"], link, "src long, dst long"))
+    drop_table(distinct.sparkSession, leaves_at)
+    return found
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) per row of ``docs``; component_id is the smallest doc_id reachable."""
     tune(docs.sparkSession)
     fps = cut(fingerprints(docs, doc_id, text, k))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     found = connected_components(links(distinct, distinct.count()), "fp", "root")
-    own = distinct.join(found, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = own.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = own.join(least, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    own = cut(distinct.join(found, "fp", "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root")))
+    least = own.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    by_fp = lookup(own, least, ["root"], "size").select("fp", "n", "component_id")
+    return lookup(fps, by_fp, ["fp"], "n").select("doc_id", "fp", "component_id")
