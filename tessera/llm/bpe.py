@@ -6,13 +6,15 @@ to the byte alphabet. A word is then encoded with two plain arrays: the
 boundaries of its parts and the rank of each adjacent pair. The smallest rank
 is found by a scan, its boundary deleted, and the ranks of the two neighbours
 refreshed, until no pair has a rank. Distinct words are encoded once per task;
-the memo has two generations of bounded size. Where the library and Python's
-Unicode tables differ in age, characters that are newer than Python's may be
-cut or lower-cased otherwise than there.
+the memo has two generations of bounded size. In words of over ``LONG`` parts
+the same merges are taken from a heap of ranked pairs over linked parts, since
+scans would cost the square of the length. Texts beyond ASCII are composed and
+lower-cased by the library's own normalisers, whose Unicode tables are not
+those of Python; words are cut by the pattern with those of ``regex``.
 
 Cases: a null text is encoded like an empty one (no ids, empty decoded text).
-Special tokens of the vocabulary that stand in a text are one id each. Very
-long words only cost the scan, a text needs no more memory than its ids.
+Special tokens of the vocabulary that stand in a text are one id each. A long
+word takes time by its length times the logarithm of it.
 Repeated rows get equal results, other columns are ignored, and an empty table
 gives an empty result.
 """
@@ -20,8 +22,8 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
-import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from struct import pack
@@ -31,15 +33,19 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import normalizers
 
 from tessera.llm.common import tune
 
 #: Words remembered in each of two generations; when the young one is full it becomes the old one.
 MEMO_ENTRIES = 150_000
 MEMO_CHARS = 64
+#: Parts of a word up to which ranks are scanned.
+LONG = 512
 NO_RANK = 1 << 60
 #: Characters that str.split() takes for white space and the pattern does not.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
+NORMAL = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
 RUNS = regex.compile(r"\S+")
 
 
@@ -93,6 +99,27 @@ class WordBPE:
         self.said = {i: b" " + t.encode() for i, t in self.tokens.items()}
         self.by_word, self.by_run = Memo(), Memo()
 
+    def merge_long(self, parts: list[int]) -> list[int]:
+        """The merges of ``merge`` for many parts: of the least rank the leftmost pair, from a heap."""
+        rank_of, n = self.ranks.get, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := rank_of(a << 20 | b)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if j >= n or parts[i] < 0 or rank_of(parts[i] << 20 | parts[j]) != rank:
+                continue  # one of the two has been merged since
+            parts[i], parts[j] = self.made[rank], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank_of(parts[i] << 20 | parts[k])) is not None:
+                    heapq.heappush(heap, (r, i))
+            if (h := before[i]) >= 0 and (r := rank_of(parts[h] << 20 | parts[i])) is not None:
+                heapq.heappush(heap, (r, h))
+        return [p for p in parts if p >= 0]
+
     def merge(self, parts: list[int]) -> list[int]:
         """Ids of one word after all merges; ``parts`` holds an id per part and shrinks as boundaries go."""
         rank_of, made = self.ranks.get, self.made
@@ -114,7 +141,7 @@ class WordBPE:
         raw = word.encode("utf-8")
         parts = [self.inner[b] for b in raw]
         parts[-1] = self.final[raw[-1]]
-        return self.merge(parts)
+        return self.merge(parts) if len(parts) <= LONG else self.merge_long(parts)
 
     def encode_word(self, word: str) -> tuple[bytes, bytes]:
         """Ids of a word as little-endian 32-bit integers, and its tokens, each with a blank before it."""
@@ -132,10 +159,7 @@ class WordBPE:
     @staticmethod
     def normalise(text: str) -> str:
         """NFC and lower case; runs of white space part words alike whether they are replaced or not."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        # lower case by character: str.lower() minds where a sigma stands
-        return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+        return text.lower() if text.isascii() else NORMAL.normalize_str(text)
 
     def encode_packed(self, text: str) -> tuple[bytes, bytes]:
         """Packed ids and the decoded text of a whole text."""
