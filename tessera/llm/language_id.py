@@ -8,8 +8,10 @@ positions that carry a letter's bytes, so whole texts count.
 
 Training is plain numpy: cross entropy of all positions, gradients by
 backpropagation through time over the window, Adam. It uses at most
-``TRAIN_ROWS`` labelled rows for each language, chosen by a hash of the id;
-every other step covers all rows.
+``TRAIN_ROWS`` labelled rows for each language, chosen by a hash, and of the
+windows of their whole texts at most ``TRAIN_WINDOWS`` for each language, chosen
+by a hash as well; every other step covers all rows. Rows are ranked in one
+scan, of which a task keeps the first of each language, and fetched in another.
 
 Cases: a null text, and one without letters, is ``und`` with score 0. A null
 language teaches nothing. If no row teaches, every text is ``und``. Repeated
@@ -24,15 +26,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import tune
+from tessera.llm.common import tune, unused
 
 STEPS = 96
 HIDDEN = 8
 TRAIN_ROWS = 240
-TRAIN_BYTES = 480
+TRAIN_WINDOWS = 1200
 EPOCHS = 4
 #: Gradient steps at least; small samples are read more often.
 LEAST_STEPS = 150
@@ -233,36 +235,27 @@ class ByteLanguageModel:
         return out / np.maximum(weight, 1)[:, None]
 
 
-def training_windows(rows: list[tuple[str, str]], langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows (n, steps) of the sampled texts, and their labels."""
-    xs, ys = [], []
-    for text, lang in rows:
-        data = np.frombuffer(text.encode()[:TRAIN_BYTES], np.uint8)
-        for at in range(0, len(data), STEPS):
-            w = np.full(STEPS, 256, np.int16)
-            w[: len(data[at : at + STEPS])] = data[at : at + STEPS]
-            xs.append(w)
-            ys.append(langs.index(lang))
-    return np.array(xs, np.int16).reshape(-1, STEPS), np.array(ys, np.int64)
-
-
-def train(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", rows_each: int = TRAIN_ROWS) -> ByteLanguageModel | None:
-    """Fit on at most ``rows_each`` rows of each language; the driver holds TRAIN_BYTES of each.
-
-    A row is taken by its hash, and of its text a stretch that the hash places.
-    """
-    usable = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    langs = sorted(r[0] for r in usable.groupBy(lang).count().select(lang).collect())
-    rows: list[tuple[str, str]] = []
-    at = F.pmod(F.xxhash64(id_col, F.lit(3)), F.greatest(F.lit(1), F.length(text) - TRAIN_BYTES)) + 1
-    stretch = F.substring(F.col(text), at.cast("int"), F.lit(TRAIN_BYTES)).alias("t")
-    for one in langs:
-        of = usable.where(F.col(lang) == one).select(F.xxhash64(id_col).alias("h"), stretch)
-        rows += [(r["t"], one) for r in of.orderBy("h", "t").limit(rows_each).collect()]
-    if not rows:
+def train(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", rows_each: int = TRAIN_ROWS, windows_each: int = TRAIN_WINDOWS) -> ByteLanguageModel | None:
+    """Fit on at most ``windows_each`` windows of at most ``rows_each`` rows of each language; the driver holds those windows."""
+    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(id_col), F.lit(3)).alias("h"), F.xxhash64(F.col(text)).alias("t"))
+    usable = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    first = lambda n, *by: F.row_number().over(Window.partitionBy("lang").orderBy(*by)) <= n
+    picked = usable.select("lang", "h", "t").withColumn("in", first(rows_each, "h", "t")).where("in").drop("in").distinct()
+    texts = usable.join(F.broadcast(picked), ["lang", "h", "t"], "left_semi").dropDuplicates(["lang", "h", "t"])
+    data = F.encode("text", "utf-8")
+    starts = F.sequence(F.lit(0), F.length(data) - 1, F.lit(STEPS))
+    cut = texts.select("lang", "h", "t", data.alias("data"), F.explode(starts).alias("at"))
+    cut = cut.select("lang", "h", "t", "at", F.substring("data", F.col("at") + 1, F.lit(STEPS)).alias("w"))
+    chosen = cut.withColumn("in", first(windows_each, F.xxhash64("h", "t", "at"), "h", "t", "at")).where("in").select("lang", "h", "t", "at", "w").collect()
+    if not chosen:
         return None
+    chosen.sort(key=lambda r: (r["lang"], r["h"], r["t"], r["at"]))
+    langs = sorted({r["lang"] for r in chosen})
+    windows = np.full((len(chosen), STEPS), 256, np.int16)
+    for i, r in enumerate(chosen):
+        windows[i, : len(r["w"])] = np.frombuffer(r["w"], np.uint8)
     model = ByteLanguageModel(langs)
-    model.fit(*training_windows(rows, langs))
+    model.fit(windows, np.array([langs.index(r["lang"]) for r in chosen]))
     return model
 
 
@@ -274,20 +267,21 @@ def predict(docs: DataFrame, model: ByteLanguageModel | None, text: str = "text"
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(model)
     others = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(*others, known.alias("_known"))
+    (flag,) = unused(docs, "known")
+    rows = docs.select(*(F.col(f"`{c}`") for c in others), known.alias(flag))
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in others) + ", lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         names = np.array(own.langs, object)
         for b in batches:
-            ok = b.column("_known").to_numpy(zero_copy_only=False)
-            texts = b.column(text).to_pylist()
+            ok = b.column(flag).to_numpy(zero_copy_only=False)
+            texts = b.column(others.index(text)).to_pylist()
             p = own.documents([t.encode() if k else b"" for t, k in zip(texts, ok)])
             best = p.argmax(1)
             lang = np.where(ok, names[best], UNKNOWN)
             score = np.where(ok, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
-            cols = [b.column(c) for c in others]
+            cols = b.columns[: len(others)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*others, "lang_pred", "score"])
 
     return rows.mapInArrow(run, schema)
