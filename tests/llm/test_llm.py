@@ -70,8 +70,67 @@ def test_warc_damage_and_empty(spark):
     assert warc.round_trip(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_cut_archives_and_counts(spark, tmp_path):
+    one = lambda i, text: warc.record(i, None, "response", None, text, hashlib.sha1(text).digest(), len(text))
+    stream = one(1, b"first") + one(2, b"x" * 200_000)
+    whole = list(warc.records(iter([stream[i : i + 7] for i in range(0, len(stream), 7)])))
+    assert [(r["page_id"], r["url"], len(r["payload"])) for r in whole] == [(1, None, 5), (2, None, 200_000)]
+    start = len(one(1, b"first"))
+    for at in [*range(start + 1, start + 40), len(stream) - 1]:
+        with pytest.raises(warc.WarcError):
+            list(warc.records(iter([stream[:at]])))
+    for bad in (b"WARC/1.1\r\nContent-Length: 1\r\n\r\nab\r\n\r\n", b"HTTP/1.1 200\r\n\r\n", b"WARC/1.1\r\nX: y\r\n\r\n\r\n\r\n", b"WARC/1.1"):
+        with pytest.raises(warc.WarcError):
+            warc.parse(bad)
+    (tmp_path / "a.warc.gz").write_bytes(stream)
+    listed = spark.createDataFrame([("a.warc.gz", 2)], "path string, n_records long")
+    assert warc.read_warc(listed, f"file://{tmp_path}").count() == 2
+    with pytest.raises(Exception, match="holds 2 records of 3"):
+        warc.read_warc(listed.withColumn("n_records", F.lit(3).cast("long")), f"file://{tmp_path}").count()
+
+
+def test_warc_keeps_null_urls(spark):
+    got = warc.round_trip(spark, spark.createDataFrame([(1, None, "a", "x"), (2, "", "b", "x"), (3, "u", "c", "x")], "page_id long, url string, html string, size string")).collect()
+    assert {r["page_id"]: r["url"] for r in got} == {1: None, 2: "", 3: "u"}
+
+
 # --- language
 
+def test_pooled_output_matches_a_plain_loop():
+    model = language_id.ByteLanguageModel(["a", "b", "c"], 3)
+    texts = ["".join(random.Random(i).choice("abc é,1") for _ in range(n)).encode() for i, n in enumerate((0, 1, 95, 96, 97, 400))]
+    got = model.documents(texts)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    for text, p in zip(texts, got):
+        total, letters = np.zeros(3), 0
+        for at in range(0, len(text), language_id.STEPS):
+            w = text[at : at + language_id.STEPS]
+            padded = list(w) + [256] * (language_id.STEPS - len(w))
+            states = []
+            for g, order in ((model.fore, padded), (model.back, padded[::-1])):
+                h, out = np.zeros(3), []
+                for b in order:
+                    a, m = g.table[b].astype(float), h @ g.rec.astype(float)
+                    r, z = sig(a[:3] + m[:3]), sig(a[3:6] + m[3:6])
+                    c = np.tanh(a[6:] + r * (m[6:] + g.bias))
+                    h = c + z * (h - c)
+                    out.append(h)
+                states.append(out)
+            for i, b in enumerate(w):
+                if b >= 128 or chr(b).isalpha():
+                    e = np.exp(np.concatenate([states[0][i], states[1][len(padded) - 1 - i]]) @ model.out + model.out_bias)
+                    total, letters = total + e / e.sum(), letters + 1
+        assert np.allclose(p, total / max(1, letters), atol=1e-4)
+
+
+def test_language_takes_odd_tables(spark):
+    rows = spark.createDataFrame([(i % 3 or None, "le texte" if i % 2 else "a text", "fr" if i % 2 else "en", i) for i in range(40)], "doc_id long, text string, lang string, known int")
+    model = language_id.train(rows, rows_each=3, windows_each=2)  # repeated rows and ids
+    assert model.langs == ["en", "fr"]
+    got = language_id.predict(rows.withColumn("score", F.lit("mine")), model)
+    assert got.columns == ["doc_id", "text", "lang", "known", "lang_pred", "score"] and sorted(r["known"] for r in got.collect()) == list(range(40))
+
+
 def test_gradients_match_differences():
     model = language_id.ByteLanguageModel(["a", "b", "c"], 4)
     rng = np.random.default_rng(0)
@@ -393,6 +452,17 @@ def test_embeddings_match_brute_force(spark):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_repeated_and_null_ids(spark):
+    unit = lambda *x: [float(v) for v in np.array(x + (0.0,) * (8 - len(x))) / np.linalg.norm(x)]
+    rows = [(5, unit(1, 0.01), 1), (5, unit(0, 1, 0.01), 2), (6, unit(1, 0.02), 1), (7, unit(1, 0.03), 1), (8, unit(0, 1, 0.02), 2), (None, unit(0, 0, 1), 3), (None, unit(0, 0, 1), 3),
+            (9, unit(0, 0, 1, 0.02), 3), (None, unit(0, 0, 0, 1), 3), (2, unit(0, 1), 1), (5, unit(1, 0.01), 1)]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    n = [sum(j != i and x[2] == r[2] and float(np.dot(x[1], r[1])) >= 0.93 for j, x in enumerate(rows)) for i, r in enumerate(rows)]
+    want = [(r[0], n[i], {1: 5, 2: 5}.get(r[2], 9)) for i, r in enumerate(rows[:8])] + [(None, 0, None), (2, 0, 2), (5, n[10], 5)]
+    assert sorted(map(str, [(r["vec_id"], r["n_links"], r["component_id"]) for r in got])) == sorted(map(str, want))
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
+
+
 def test_tiles_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "BUCKET_CAP", 7)
     base = np.random.default_rng(1).standard_normal(64)
@@ -533,6 +603,26 @@ def test_bpe_matches_the_library(spark, odd):
     assert bpe.encode_decode(odd.limit(0)).count() == 0
 
 
+def test_bpe_takes_long_words_and_all_characters():
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(bpe.default_vocabulary()), bpe.WordBPE(bpe.default_vocabulary())
+    rng = random.Random(4)
+    for n in (513, 700, 30000):
+        for letters in ("ab", "abcdefghijklmnop", "étä"):
+            w = "".join(rng.choice(letters) for _ in range(n))
+            assert own.encode(w) == lib.encode(w, add_special_tokens=False).ids
+            parts = [own.inner[b] for b in w[:900].encode()]
+            assert own.merge_long(list(parts)) == own.merge(list(parts))
+    known = [c for c in map(chr, range(0x30000)) if unicodedata.category(c) not in ("Cn", "Co", "Cs")]
+    marks = [c for c in known if unicodedata.combining(c)]
+    texts = [f"a{c}b1{c} {c}'s{c}" for c in known[::7]] + ["".join(rng.choice(marks if rng.random() < 0.5 else known) for _ in range(rng.randint(2, 8))) for _ in range(20000)]
+    for t in [*texts, "\u0592\u1ac0", "\u05b2\U00011d44"]:
+        assert own.encode(t) == lib.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
 def test_bpe_memo_is_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "MEMO_ENTRIES", 3)
     memo = bpe.Memo()
