@@ -10,7 +10,8 @@ text's component is what links reach.
    n - ceil(0.8 n) + 1, so only those are dealt by hash. Frequencies come from
    a bounded sample; they steer only the size of the groups, since any one
    order finds every pair.
-3. *Stars.* Each group's sets are paired with one of it. What lengths,
+3. *Stars.* Each group's sets are paired with one of it, and the caller may
+   give pairs of close fingerprints to go first with them. What lengths,
    positions and parities allow is verified on the whole sets, and the links
    contracted, so a large group of near copies never expands into all its
    pairs. Parities: of the hashes that fall on each of 512 bits, odd or even;
@@ -26,7 +27,7 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, cut, map_groups, release, tiled, tune
-from tessera.llm.simhash import _hashes
+from tessera.llm.common import connected_components, cut, lookup, map_groups, release, tiled, tune
+from tessera.llm.shingles import fold, hashes
 
 WORDS = 5
 #: Jaccard likeness of at least 4/5: nine times the overlap is four times both sizes or more.
@@ -50,7 +51,7 @@ FILTER_BITS = 1 << 22
 
 def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the ``k``-word sequences of one text."""
-    return np.unique(_hashes(text or "", k))
+    return np.unique(hashes(text, k))
 
 
 def _name(own: np.ndarray) -> int:
@@ -160,23 +161,37 @@ def _verify(pairs: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
     return cut(pairs.join(a, "src").join(b, "dst").select("src", "dst", "x", "y").mapInArrow(run, "src long, dst long"))
 
 
+def _close(sets: DataFrame, candidates: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """Pairs (src, dst) of sets whose fingerprints are candidates, or equal; one set stands for each fingerprint."""
+    fps = cut(sets.groupBy("fp").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("n_rows")))
+    found = candidates(fps.select("fp"), fps.count())
+    a, b = fps.select(F.col("fp").alias("src"), F.col("rep").alias("a")), fps.select(F.col("fp").alias("dst"), F.col("rep").alias("b"))
+    same = lookup(sets.select("fp", F.col("rep").alias("a")), fps.select("fp", F.col("rep").alias("b"), "n_rows"), ["fp"], "n_rows")
+    return found.join(a, "src").join(b, "dst").select(*_ordered("a", "b")).union(same.where("a <> b").select(*_ordered("a", "b")))
+
+
 def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")]
 
 
-def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cap: int = GROUP_CAP) -> DataFrame:
-    """(doc_id, text_hash, component) per row of ``docs``; rows of a component reach each other over links."""
+def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cap: int = GROUP_CAP, candidates: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """(doc_id, text_hash, component) per row of ``docs``; rows of a component reach each other over links.
+
+    ``candidates`` may name pairs (src, dst) of the sets' SimHashes, given them
+    (fp) and their number; such pairs are verified like any other.
+    """
     tune(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [shingles(t) for t in b.column(2).to_pylist()]
-            rest = [_longs([_name(x) for x in own]), pa.array([len(x) for x in own], pa.int64()), pa.array([parities(x) for x in own], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *rest], ["doc_id", "text_hash", "rep", "n", "bits"])
+            whole = [hashes(t, WORDS) for t in b.column(2).to_pylist()]
+            own = [np.unique(x) for x in whole]
+            rest = [_longs([fold(x) for x in whole]), _longs([_name(x) for x in own]), pa.array([len(x) for x in own], pa.int64()), pa.array([parities(x) for x in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *rest], ["doc_id", "text_hash", "fp", "rep", "n", "bits"])
 
-    sets = cut(rows.mapInArrow(sign, "doc_id long, text_hash long, rep long, n long, bits binary"))
+    sets = cut(rows.mapInArrow(sign, "doc_id long, text_hash long, fp long, rep long, n long, bits binary"))
     common = context.broadcast(_common(rows, sets.count()))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +223,10 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cap:
     hubs = members.groupBy("gram").agg(F.min(F.struct(F.xxhash64("rep", "gram").alias("x"), "rep", "n", "pos")).alias("hub"))
     star = members.join(hubs, "gram").where(F.col("rep") != F.col("hub.rep"))
     star = star.where(_may_link(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
-    first = _verify(star.select(*_ordered("rep", "hub.rep")).distinct(), sets, rows)
+    pairs = star.select(*_ordered("rep", "hub.rep"))
+    if candidates:
+        pairs = pairs.union(_close(sets, candidates))
+    first = _verify(pairs.distinct(), sets, rows)
 
     reached = connected_components(first, "rep", "root")
     left = members.join(reached, "rep", "left").withColumn("root", F.coalesce("root", "rep"))

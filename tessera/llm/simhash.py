@@ -24,23 +24,25 @@ links like any other. Fewer words than a shingle: the whole sequence is the
 one shingle. Repeated rows get equal results; a null id takes part but never
 names a component unless no other id is there. An empty table gives an empty
 result. Other columns are ignored.
+
+``near_copies`` links texts by five-word Jaccard likeness instead, which no
+radius of 64 bits stands for: what the trees find is verified on whole shingle
+sets, and the links beyond their four bits come from ``set_join``.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import connected_components, cut, drop_table, lookup, map_groups, spool, tiled, tune
+from tessera.llm.set_join import components
+from tessera.llm.shingles import fold, hashes
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SEED = 42
 MAX_BITS = 4
 #: Bit blocks; MAX_BITS // 3 differences at most in the best block.
 BLOCKS = (0x00000000001FFFFF, 0x000003FFFFE00000, 0xFFFFFC0000000000)
@@ -50,35 +52,11 @@ SAMPLE_MOST = 1 << 20
 SHARE = 16
 LEAF = 1024
 LEAF_CAP = 8192
-LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 def fingerprint(text: str | None, k: int = 4) -> int:
-    """SimHash of one text; the spelled-out form of :func:`fingerprints`."""
-    return int(_fold([(text or "")], k)[0])
-
-
-def _hashes(text: str, k: int) -> np.ndarray:
-    words = [w.encode().translate(LOWER) for w in WORD.findall(text)]
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) <= k:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
-    h, join = xxhash.xxh64_intdigest, b" ".join
-    return np.array([h(join(words[i : i + k]), SEED) for i in range(len(words) - k + 1)], np.uint64)
-
-
-def _fold(texts: list[str], k: int) -> np.ndarray:
-    out = np.zeros(len(texts), np.uint64)
-    weight = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    for i, text in enumerate(texts):
-        h = _hashes(text, k)
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(h), 8192):
-            ones += np.unpackbits(h[at : at + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        if len(h):
-            out[i] = weight[2 * ones > len(h)].sum(dtype=np.uint64)
-    return out
+    """SimHash of one text."""
+    return int(fold(hashes(text, k)))
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4) -> DataFrame:
@@ -86,8 +64,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_fold(texts, k).view(np.int64))], ["doc_id", "fp"])
+            own = np.array([fold(hashes(t, k)) for t in b.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
@@ -204,3 +182,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = own.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("size"))
     by_fp = lookup(own, least, ["root"], "size").select("fp", "n", "component_id")
     return lookup(fps, by_fp, ["fp"], "n").select("doc_id", "fp", "component_id")
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text_hash, component) per row of ``docs``: whole texts of five-word likeness of 0.8 or more link."""
+    return components(docs, doc_id, text, candidates=links)
