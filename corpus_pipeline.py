@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, language_id, mixing, pseudonyms, set_join
+from tessera.llm import bpe, language_id, mixing, pseudonyms, simhash
 from tessera.llm.common import shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,7 +29,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group of near copies (five-word Jaccard likeness of 0.8 or more): that of smallest id, then text hash; null ids come last."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text_hash").alias("_hash")))
-    chosen = set_join.components(docs).groupBy("component").agg(first.alias("c")).select("c.*")
+    chosen = simhash.near_copies(docs).groupBy("component").agg(first.alias("c")).select("c.*")
     rows = docs.select(*COLUMNS).withColumns({"_null": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_hash": F.xxhash64("text")})
     kept = rows.join(chosen, ["_null", "_id", "_hash"])
     # rows of the same id and text count once; the join has dealt them by these keys already
