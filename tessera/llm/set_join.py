@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, cut, lookup, map_groups, release, tiled, tune
+from tessera.llm.common import connected_components, cut, drop_table, lookup, map_groups, release, spool, tiled, tune
 from tessera.llm.shingles import fold, hashes
 
 WORDS = 5
@@ -45,6 +45,8 @@ SAMPLE = 16384
 COMMON = 65536
 GROUP_CAP = 4096
 PARITY_BITS = 512
+#: Bytes of each hash that verification compares; within two sets of 20,000 hashes a false match has a chance of 1 in 2,700.
+VERIFIED = 5
 #: Bits of the filter that spares texts whose sets are not needed again.
 FILTER_BITS = 1 << 22
 
@@ -76,6 +78,17 @@ def parities(own: np.ndarray) -> bytes:
     return np.packbits(odd.astype(bool)).tobytes()
 
 
+def pack(own: np.ndarray) -> bytes:
+    """The low bytes of a set's hashes."""
+    return own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :VERIFIED].tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // VERIFIED, 8), np.uint8)
+    out[:, :VERIFIED] = np.frombuffer(data, np.uint8).reshape(-1, VERIFIED)
+    return np.unique(out.reshape(-1).view("<u8"))
+
+
 def _longs(x: list[int] | np.ndarray) -> pa.Array:
     return pa.array(np.asarray(x, np.uint64).view(np.int64))
 
@@ -142,23 +155,26 @@ def _verify(pairs: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
                 if h[i] not in done:
                     done.add(h[i])
                     own = shingles(b.column(1)[i].as_py())
-                    yield pa.RecordBatch.from_arrays([_longs([_name(own)]), pa.array([own.tobytes()], pa.binary())], ["rep", "grams"])
+                    yield pa.RecordBatch.from_arrays([_longs([_name(own)]), pa.array([pack(own)], pa.binary())], ["rep", "grams"])
 
-    grams = cut(rows.select("text_hash", "text").mapInArrow(again, "rep long, grams binary").dropDuplicates(["rep"]))
+    grams, grams_at = spool(rows.select("text_hash", "text").mapInArrow(again, "rep long, grams binary").dropDuplicates(["rep"]))
     release(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
             for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = unpack(x.as_buffer()), unpack(y.as_buffer())
                 ok.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["src", "dst"])
 
     a = grams.select(F.col("rep").alias("src"), F.col("grams").alias("x"))
     b = grams.select(F.col("rep").alias("dst"), F.col("grams").alias("y"))
-    return cut(pairs.join(a, "src").join(b, "dst").select("src", "dst", "x", "y").mapInArrow(run, "src long, dst long"))
+    out = cut(pairs.join(a, "src").join(b, "dst").select("src", "dst", "x", "y").mapInArrow(run, "src long, dst long"))
+    drop_table(rows.sparkSession, grams_at)
+    release(rows.sparkSession)
+    return out
 
 
 def _close(sets: DataFrame, candidates: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
@@ -201,13 +217,14 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cap:
                 first = prefix(own, *common.value)
                 m = len(first)
                 yield pa.RecordBatch.from_arrays(
-                    [_longs(first), _longs(np.full(m, _name(own), np.uint64)), pa.array(np.full(m, len(own), np.int64)), pa.array(np.arange(m))], ["gram", "rep", "n", "pos"]
+                    [_longs(first), _longs(np.full(m, _name(own), np.uint64)), pa.array((np.int64(len(own)) << 32) + np.arange(m))], ["gram", "rep", "place"]
                 )
 
     def several(group: pa.Table) -> pa.Table | None:
         _, at = np.unique(group["rep"].to_numpy(), return_index=True)
         if len(at) > 1:  # only those that lengths and positions let link to another
-            n, pos = group["n"].to_numpy()[at], group["pos"].to_numpy()[at]
+            place = group["place"].to_numpy()[at]
+            n, pos = place >> 32, place & 0xFFFFFFFF
             may = np.zeros(len(at), bool)
             for i in range(0, len(at), 32):
                 to = slice(i, i + 32)
@@ -216,8 +233,9 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cap:
             at = at[may]
         return group.take(pa.array(at)) if len(at) > 1 else None
 
-    schema = "gram long, rep long, n long, pos long"
-    members = cut(map_groups(rows.select("text").mapInArrow(deal, schema), ["gram"], several, schema))
+    schema = "gram long, rep long, place long"
+    packed, members_at = spool(map_groups(rows.select("text").mapInArrow(deal, schema), ["gram"], several, schema))
+    members = packed.select("gram", "rep", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("pos"))
     release(docs.sparkSession)
 
     hubs = members.groupBy("gram").agg(F.min(F.struct(F.xxhash64("rep", "gram").alias("x"), "rep", "n", "pos")).alias("hub"))
@@ -232,6 +250,8 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cap:
     left = members.join(reached, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     split = left.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
     left = cut(left.join(split, "gram").select("gram", "rep", "n", "pos", "root"))
+    drop_table(docs.sparkSession, members_at)
+    release(docs.sparkSession)
 
     def cross(group: pa.Table) -> pa.Table | None:
         rep, n, pos, root = (group[c].to_numpy() for c in ("rep", "n", "pos", "root"))
