@@ -38,7 +38,7 @@ from tessera.llm.common import cut, unused
 
 BLOCK_ROWS = 16
 CHUNK = 1024
-BUCKET_ROWS = 100_000
+BUCKET_ROWS = 10_000
 #: Blocks and buckets up to which their table is broadcast; its rows hold a few numbers each.
 SMALL = 200_000
 #: Target weights of the registered jobs, a falling series over the numbered sources; no two are alike.
@@ -151,7 +151,7 @@ def interleave(docs: DataFrame, source: str = "source", doc_id: str = "doc_id",
     docs = docs.drop("source_block", "mix_slot", "mix_position")
     key, h, b, n, first, r, slots = unused(docs, "source_key", "h", "bucket", "n", "first", "r", "slots")
     n_rows = docs.select(source).count()
-    buckets = max(64, -(-n_rows // bucket_rows))
+    buckets = max(16, -(-n_rows // bucket_rows))
     rows = docs.withColumn(key, F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))).withColumn(h, F.xxhash64(F.lit(13), F.col(doc_id)))
     rows = rows.withColumn(b, F.pmod(F.col(h), F.lit(buckets)))
     counts = cut(rows.groupBy(key, b).agg(F.count(F.lit(1)).alias(n)))
