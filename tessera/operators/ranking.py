@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from tessera.operators.rows import seeded
 
 
-def threshold_rating(score: Column, thresholds: list[float], higher: bool = True, best: int = 10) -> Column:
-    """Rating of the first threshold that the score reaches, counting down from ``best``; 1 if none, null for null."""
+def threshold_rating(score: Column, thresholds: list[float], higher: bool = True, best: int = 10, target: float | None = None) -> Column:
+    """Rating of the first threshold that the score reaches, counting down from ``best``; 1 if none, null for null.
+
+    With a ``target`` the distance from it is rated, and lower is better.
+    """
+    if target is not None:
+        score, higher = F.abs(score - target), False
     out = F.lit(1)
     for i, t in reversed(list(enumerate(thresholds))):
         out = F.when(score >= t if higher else score <= t, F.lit(best - i)).otherwise(out)

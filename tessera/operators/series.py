@@ -147,25 +147,61 @@ def edge_share(total: Column, ratio: float = 0.15, least: int = 1) -> Column:
 
 
 def spectrum_ratio(df: DataFrame, key: str, order: str, value: str, period: int) -> DataFrame:
-    """Power at 1/period over the median power, by FFT of each clip's series."""
+    """Amplitude of each clip's absolute steps at 1/period, over the median amplitude between 1/100 and 1/5.
+
+    Null for fewer than three periods of steps and where that band is empty.
+    """
     import numpy as np
     import pandas as pd
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values(order)[value].to_numpy(float)
-        p = np.abs(np.fft.rfft(v - v.mean())) ** 2
-        at = int(round(len(v) / period))
-        mid = float(np.median(p[1:])) if len(p) > 1 else 0.0
-        ratio = float(p[at] / mid) if 0 < at < len(p) and mid > 0 else None
+        step = np.abs(np.diff(pdf.sort_values(order)[value].to_numpy(float)))
+        ratio = None
+        if len(step) >= 3 * period:
+            height, at = np.abs(np.fft.rfft(step - step.mean())), np.fft.rfftfreq(len(step))
+            middle = height[(at > 0.01) & (at < 0.2)]
+            if len(middle) and np.median(middle) > 0:
+                ratio = float(height[np.abs(at - 1 / period).argmin()] / np.median(middle))
         return pd.DataFrame({key: [pdf[key].iloc[0]], "ratio": [ratio]})
 
     return df.select(key, order, value).groupBy(key).applyInPandas(one, f"{key} {dict(df.dtypes)[key]}, ratio double")
 
 
-def ema(values: Column, rho: float) -> Column:
-    """Exponential moving averages of an ordered array; the first value starts it."""
-    step = lambda s, x: F.concat(s, F.array(F.when(F.size(s) == 0, x).otherwise(F.element_at(s, -1) * rho + x * (1 - rho))))
-    return F.aggregate(values, F.array().cast("array<double>"), step)
+def boundary_stats(df: DataFrame, key: str, order: str, value: str, period: int) -> DataFrame:
+    """How the steps across chunk borders, the last phase, compare with the other phases of their period.
+
+    (key, boundary_ratio, phase_rank, top_phase, top_ratio): border over the mean of the others, number of phases at
+    least as high, the highest phase (the first of equals) and its ratio. Keys with fewer than three periods have no row.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    steps = df.select(key, (F.row_number().over(w) - 2).alias("_j"), F.abs(F.col(value) - F.lag(value).over(w)).alias("_d")).where("_j >= 0")
+    phases = steps.groupBy(key, (F.col("_j") % period).alias("_p")).agg(F.avg("_d").alias("_m"), F.count(F.lit(1)).alias("_n"))
+    every = phases.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_p", "_m"))).alias("_all"), F.sum("_n").alias("_steps"), F.sum("_m").alias("_sum")).where(F.col("_steps") >= 3 * period)
+    means = F.transform("_all", lambda x: x["_m"])
+    border, top = F.element_at(means, -1), F.array_max(means)
+    over = lambda x: x / ((F.col("_sum") - x) / (period - 1))
+    return every.select(
+        key, over(border).alias("boundary_ratio"), F.size(F.filter(means, lambda m: m >= border)).cast("long").alias("phase_rank"),
+        (F.array_position(means, top) - 1).alias("top_phase"), over(top).alias("top_ratio"),
+    )
+
+
+def moment_drift(moments: Column, rho_mean: float = 0.9, rho_var: float = 0.9, mean_limit: float = 0.15, var_limit: float = 0.15) -> Column:
+    """Running means and variances of an ordered array of structs (mean, var), arrays both; a struct (mean, var, drifts).
+
+    An entry drifts if its mean and its variance both lie farther from the running ones before it than their limits;
+    the first starts them.
+    """
+    far = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    blend = lambda a, b, rho: F.zip_with(a, b, lambda x, y: x * rho + y * (1 - rho))
+
+    def step(s: Column, x: Column) -> Column:
+        drift = (far(x["mean"], s["mean"]) > mean_limit) & (far(x["var"], s["var"]) > var_limit)
+        return F.struct(blend(s["mean"], x["mean"], rho_mean).alias("mean"), blend(s["var"], x["var"], rho_var).alias("var"), (s["drifts"] + F.when(drift, 1).otherwise(0)).alias("drifts"))
+
+    first = F.get(moments, F.lit(0))
+    start = F.struct(first["mean"].alias("mean"), first["var"].alias("var"), F.lit(0).alias("drifts"))
+    return F.aggregate(F.slice(moments, F.lit(2), F.greatest(F.size(moments) - 1, F.lit(0))), start, step)
 
 
 def sampled_theil_sen(values: Column, cap: int = 4000, seed: int = 0) -> Column:

@@ -36,15 +36,21 @@ def nearest_centroid(df: DataFrame, vector: str, centroids: list[list[float]]) -
     return rows.withColumn("centroid", F.array_position("_d", F.col("distance")).cast("long") - 1).drop("_d")
 
 
-def kmeans(df: DataFrame, vector: str, k: int, rounds: int = 20, tolerance: float = 1e-4, seed: int = 0) -> list[list[float]]:
+def kmeans(df: DataFrame, vector: str, k: int, rounds: int = 20, changed: float = 1e-4, seed: int = 0) -> list[list[float]]:
     """Lloyd's algorithm; empty clusters restart at the rows farthest from their centroid.
 
-    Only k centroids and k sums come to the driver in a round.
+    It ends when no cluster is empty and less than a share ``changed`` of the
+    rows went to another centroid than in the round before. Only k centroids
+    and k sums come to the driver in a round.
     """
-    first = df.select(F.col(vector).alias("v")).orderBy(F.xxhash64(vector, F.lit(seed))).limit(k).collect()
-    centers = [[float(x) for x in r["v"]] for r in first]
-    for _ in range(rounds):
+    first = df.select(F.col(vector).alias("v")).orderBy(F.xxhash64(vector, F.lit(seed)), vector).limit(k).collect()
+    centers, before = [[float(x) for x in r["v"]] for r in first], None
+    for _ in range(rounds if centers else 0):
         near = nearest_centroid(df.select(vector), vector, centers)
+        moved = 1.0
+        if before is not None:
+            was = nearest_centroid(near.select(vector, F.col("centroid").alias("now")), vector, before)
+            moved = was.agg(F.avg((F.col("centroid") != F.col("now")).cast("double"))).first()[0]
         long = near.select("centroid", F.posexplode(vector).alias("i", "x"))
         means = {}
         for r in long.groupBy("centroid", "i").agg(F.avg("x").alias("m")).collect():
@@ -55,14 +61,38 @@ def kmeans(df: DataFrame, vector: str, k: int, rounds: int = 20, tolerance: floa
             far = near.orderBy(F.desc("distance")).limit(len(empty)).collect()
             for j, r in zip(empty, far):
                 fresh[j] = [float(x) for x in r[vector]]
-        moved = sum(sum((a - b) ** 2 for a, b in zip(x, y)) for x, y in zip(fresh, centers))
-        size = sum(sum(a * a for a in x) for x in centers) or 1.0
-        centers = fresh
-        if moved / size < tolerance and not empty:
+        before, centers = centers, fresh
+        if moved < changed and not empty:
             break
     return centers
 
 
+def held_out_metrics(df: DataFrame, vector: str, centroids: list[list[float]]) -> DataFrame:
+    """(mean_l2, variance_retained, used): mean distance to the nearest centroid, 1 minus residual over total variance, centroids in use."""
+    near = nearest_centroid(df.select(vector), vector, centroids)
+    spread = df.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg((F.var_pop("x") * F.count("x")).alias("v")).agg(F.sum("v").alias("total"))
+    one = near.agg(F.avg("distance").alias("mean_l2"), F.sum(F.col("distance") * F.col("distance")).alias("rest"), F.countDistinct("centroid").alias("used"))
+    return one.crossJoin(spread).select("mean_l2", F.when(F.col("total") > 0, 1 - F.col("rest") / F.col("total")).alias("variance_retained"), "used")  # one row each
+
+
+def saturated(v: Column, by: float) -> Column:
+    """Values moved away from their mean by a factor."""
+    mean = total(v) / F.size(v)
+    return F.transform(v, lambda x: (x - mean) * by + mean)
+
+
+def agrees(a: Column, b: Column, least: float = 0.995) -> Column:
+    """Is the least cosine over the rows of a group high enough? An aggregate."""
+    return F.min(cosine(a, b)) >= least
+
+
+def grid_index(t: Column, grid: list[float], low: float = 0, high: float = 999) -> Column:
+    """Position (from 0) of the grid value nearest to t, clamped first; the first of equals."""
+    x = F.least(F.greatest(t, F.lit(low)), F.lit(high))
+    gaps = F.array(*[F.abs(x - g) for g in grid])
+    return F.array_position(gaps, F.array_min(gaps)) - 1
+
+
 def quantize(v: Column, step: float, alpha: float = 1.0, tolerance: float = 0.0) -> Column:
     """Blend with the nearest multiples of step; an all-padding vector stays as it is."""
     got = F.transform(v, lambda x: x + alpha * (F.bround(x / step) * step - x))

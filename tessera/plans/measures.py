@@ -280,11 +280,15 @@ def _(t):
     return t.events.groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("v"))
 
 
-@query("STR6_ema_drift", None)
+@query("STR6_ema_drift", f"""with recursive {SERIES},
+  p as (select user_id, i // 8 as k, avg(value) as m, var_pop(value) as v from series group by 1, 2),
+  w as (select user_id, k, m, v, 0 as drifts from p where k = 0
+    union all select p.user_id, p.k, 0.9 * w.m + 0.1 * p.m, 0.9 * w.v + 0.1 * p.v, w.drifts + (abs(p.m - w.m) > 5 and abs(p.v - w.v) > 100)::int from w join p on p.user_id = w.user_id and p.k = w.k + 1)
+  select user_id, round(arg_max(m, k), 6) as last_mean, round(arg_max(v, k), 4) as last_var, max(drifts)::bigint as drifts from w group by 1""")
 def _(t):
-    s = series.ordered_values(t.series, "user_id", "i", "value").withColumn("ema", series.ema(F.col("series"), 0.9))
-    drift = F.exists(F.zip_with("series", "ema", lambda v, m: F.abs(v - m) > 40), lambda x: x)
-    return s.select("user_id", r4(F.element_at("ema", -1), 6).alias("last_ema"), drift.alias("drifted"))
+    parts = t.series.groupBy("user_id", F.floor(F.col("i") / 8).alias("k")).agg(F.array(F.avg("value")).alias("mean"), F.array(F.var_pop("value")).alias("var"))
+    got = parts.groupBy("user_id").agg(series.moment_drift(F.transform(F.sort_array(F.collect_list(F.struct("k", "mean", "var"))), lambda x: F.struct(x["mean"].alias("mean"), x["var"].alias("var"))), mean_limit=5.0, var_limit=100.0).alias("s"))
+    return got.select("user_id", r4(F.col("s.mean")[0], 6).alias("last_mean"), r4(F.col("s.var")[0], 4).alias("last_var"), F.col("s.drifts").cast("long").alias("drifts"))
 
 
 @query("STR13_delayed_fifo", f"with {SERIES} select user_id, i, lag(value, 2) over (partition by user_id order by i) as written from series")
@@ -353,7 +357,9 @@ def _(t):
     return t.clips.select("clip", ranking.length_bucket(F.col("frames"), [121, 201, 401]).cast("long").alias("bucket"))
 
 
-@query("RNK18_nearest_each", None)
+@query("RNK18_nearest_each", f"""with {SERIES},
+  s as (select user_id, min_by(i, (abs(value - 0), i)) as a, min_by(i, (abs(value - 50), i)) as b, max(i) as c from series group by 1)
+  select user_id, a::varchar || ',' || b::varchar || ',' || c::varchar as at from s""")
 def _(t):
     s = series.ordered_values(t.series, "user_id", "i", "value")
     return s.select("user_id", F.array_join(ranking.nearest_each(F.col("series"), F.array(F.lit(0.0), F.lit(50.0))).cast("array<string>"), ",").alias("at"))

@@ -142,6 +142,15 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_results(df: DataFrame, path: str) -> None:
+    """The same rows as JSON lines, results.jsonl, and as one indented JSON array for readers, results.json."""
+    df.write.mode("overwrite").json(f"{path}/results.jsonl")
+    # the array is one file by nature: its rows come from the lines, in their order, one partition at a time
+    lines = df.sparkSession.read.text(f"{path}/results.jsonl").coalesce(1)
+    doc = lines.agg(F.concat(F.lit("[\n  "), F.array_join(F.collect_list("value"), ",\n  "), F.lit("\n]")).alias("value"))
+    doc.write.mode("overwrite").text(f"{path}/results.json")
+
+
 def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
 
@@ -170,18 +179,25 @@ def write_new(df: DataFrame, path: str) -> bool:
         raise
 
 
-def markdown_table(df: DataFrame, names: list[str], limit: int = 1000) -> str:
-    """A report table of at most ``limit`` rows; missing values are em dashes."""
-    rows = df.select(*names).limit(limit).collect()
+def _some(df: DataFrame, limit: int | None) -> tuple[list, int]:
+    """Rows for a report, and how many others there are."""
+    rows = df.collect() if limit is None else df.limit(limit).collect()
+    return rows, 0 if limit is None or len(rows) < limit else df.count() - len(rows)
+
+
+def markdown_table(df: DataFrame, names: list[str], limit: int | None = None) -> str:
+    """A report table of all rows, or of the first ``limit`` and a line that says how many are left out; missing values are em dashes."""
+    rows, rest = _some(df.select(*names), limit)
     say = lambda v: "—" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
-    return "\n".join(["| " + " | ".join(names) + " |", "|" + "---|" * len(names), *("| " + " | ".join(map(say, r)) + " |" for r in rows)]) + "\n"
+    return "\n".join(["| " + " | ".join(names) + " |", "|" + "---|" * len(names), *("| " + " | ".join(map(say, r)) + " |" for r in rows)]) + "\n" + (f"\n{rest} more rows\n" if rest else "")
 
 
-def html_cards(df: DataFrame, title: str, body: str, limit: int = 1000) -> str:
-    """Preview cards; the body is its <event> part if it has one, escaped."""
+def html_cards(df: DataFrame, title: str, body: str, limit: int | None = None) -> str:
+    """Preview cards of all rows, or of the first ``limit`` and a line that says how many are left out; the body is its <event> part if it has one, escaped."""
     event = F.regexp_extract(body, r"(?s)<event>(.*?)</event>", 1)
-    rows = df.select(F.col(title).cast("string"), F.coalesce(F.nullif(event, F.lit("")), F.col(body), F.lit(""))).limit(limit).collect()
-    return "\n".join(f"<article><h3>{html.escape(a or '')}</h3><p>{html.escape(b)}</p></article>" for a, b in rows)
+    rows, rest = _some(df.select(F.col(title).cast("string"), F.coalesce(F.nullif(event, F.lit("")), F.col(body), F.lit(""))), limit)
+    cards = [f"<article><h3>{html.escape(a or '')}</h3><p>{html.escape(b)}</p></article>" for a, b in rows]
+    return "\n".join(cards + ([f"<p>{rest} more</p>"] if rest else []))
 
 
 def provenance(spark: SparkSession, inputs: DataFrame, path: str, key: str, note: Mapping[str, str]) -> DataFrame:

@@ -28,8 +28,34 @@ def fifo_buffers(stream: DataFrame, key: str, value: str, capacity: int) -> Data
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, size int, buffer array<double>", "held array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
+def moment_drift(stream: DataFrame, key: str, mean: str, var: str, rho: float = 0.9, mean_limit: float = 0.15, var_limit: float = 0.15) -> DataFrame:
+    """(key, mean, var, drifts): running means and variances (arrays) after each batch and how many entries drifted so far.
+
+    The rule is that of operators.series.moment_drift: both distances from the running values before the entry exceed
+    their limits, and the first entry starts them.
+    """
+    kind = dict(stream.dtypes)[key]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b)) ** 0.5
+    blend = lambda a, b: [rho * x + (1 - rho) * float(y) for x, y in zip(a, b)]
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        m, v, drifts = state.get if state.exists else (None, None, 0)
+        for f in frames:
+            for x, y in zip(f[mean], f[var]):
+                if m is None:
+                    m, v = [float(a) for a in x], [float(a) for a in y]
+                    continue
+                drifts += int(far(x, m) > mean_limit and far(y, v) > var_limit)
+                m, v = blend(m, x), blend(v, y)
+        state.update((list(m), list(v), drifts))
+        yield pd.DataFrame({key: [k[0]], "mean": [m], "var": [v], "drifts": [drifts]})
+
+    rows = stream.select(key, F.col(mean).cast("array<double>").alias(mean), F.col(var).cast("array<double>").alias(var))
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, mean array<double>, var array<double>, drifts int", "mean array<double>, var array<double>, drifts int", "update", GroupStateTimeout.NoTimeout)
+
+
 def ema_drift(stream: DataFrame, key: str, value: str, rho: float = 0.9, threshold: float = 0.15) -> DataFrame:
-    """(key, ema, drifted): the average after each batch; a value farther from it than the threshold drifts."""
+    """(key, ema, drifted): the average after each batch; a value farther from the one before it than the threshold drifts."""
     kind = dict(stream.dtypes)[key]
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
