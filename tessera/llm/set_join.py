@@ -145,6 +145,7 @@ def _needed(sets: DataFrame, pairs: DataFrame) -> np.ndarray:
 def _verify(pairs: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
     """Those pairs (src, dst) whose whole sets are alike enough."""
     pairs = _possible(pairs, sets)
+    release(rows.sparkSession)
     needed = rows.sparkSession.sparkContext.broadcast(_needed(sets, pairs))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,6 +182,7 @@ def _close(sets: DataFrame, candidates: Callable[[DataFrame, int], DataFrame]) -
     """Pairs (src, dst) of sets whose fingerprints are candidates, or equal; one set stands for each fingerprint."""
     fps = cut(sets.groupBy("fp").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("n_rows")))
     found = candidates(fps.select("fp"), fps.count())
+    release(sets.sparkSession)
     a, b = fps.select(F.col("fp").alias("src"), F.col("rep").alias("a")), fps.select(F.col("fp").alias("dst"), F.col("rep").alias("b"))
     same = lookup(sets.select("fp", F.col("rep").alias("a")), fps.select("fp", F.col("rep").alias("b"), "n_rows"), ["fp"], "n_rows")
     return found.join(a, "src").join(b, "dst").select(*_ordered("a", "b")).union(same.where("a <> b").select(*_ordered("a", "b")))
