@@ -14,8 +14,11 @@ text's component is what links reach.
    give pairs of close fingerprints to go first with them. What lengths,
    positions and parities allow is verified on the whole sets, and the links
    contracted, so a large group of near copies never expands into all its
-   pairs. Parities: of the hashes that fall on each of 512 bits, odd or even;
-   each bit in which two sets differ takes a hash that only one of them has.
+   pairs. Parities: of the hashes that fall on each bit, odd or even; each bit
+   in which two sets differ takes a hash that only one of them has. Bits grow
+   with the set, since few of them say nothing of a long text; the wider of two
+   is folded. Grams of one of ``HUBS`` kinds choose the same hub, so that alike
+   sets meet the same few hubs, not another one for each gram.
 4. *The rest.* Pairs of a group in different components so far are verified the
    same way, groups over ``GROUP_CAP`` in tiles that hold all their pairs.
 
@@ -44,7 +47,9 @@ LIKENESS = 0.8
 SAMPLE = 16384
 COMMON = 65536
 GROUP_CAP = 4096
+#: Bits of the parities of a set, at least; longer sets have two to four for each hash.
 PARITY_BITS = 512
+HUBS = 4
 #: Bytes of each hash that verification compares; within two sets of 20,000 hashes a false match has a chance of 1 in 2,700.
 VERIFIED = 5
 #: Bits of the filter that spares texts whose sets are not needed again.
@@ -73,11 +78,20 @@ def prefix(own: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray
 
 
 def parities(own: np.ndarray) -> bytes:
-    """Whether an odd number of a set's hashes falls on each of ``PARITY_BITS``."""
-    odd = np.bincount((own % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    """Whether an odd number of a set's hashes falls on each bit; a power of two of them."""
+    width = max(PARITY_BITS, 1 << (2 * len(own)).bit_length())
+    odd = np.bincount((own % np.uint64(width)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(bool)).tobytes()
 
 
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two parities differ; no more than hashes that only one of the sets has."""
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+
+
 def pack(own: np.ndarray) -> bytes:
     """The low bytes of a set's hashes."""
     return own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :VERIFIED].tobytes()
@@ -119,8 +133,8 @@ def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(-1, PARITY_BITS // 64) for i in (3, 4))
-            keep = pa.array(9 * np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= b.column(2).to_numpy())
+            bits = [differing(x.as_buffer(), y.as_buffer()) for x, y in zip(b.column(3), b.column(4))]
+            keep = pa.array(9 * np.array(bits, np.int64) <= b.column(2).to_numpy())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["src", "dst"])
 
     own = sets.groupBy("rep").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
@@ -211,6 +225,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cap:
 
     sets = cut(rows.mapInArrow(sign, "doc_id long, text_hash long, fp long, rep long, n long, bits binary"))
     common = context.broadcast(_common(rows, sets.count()))
+    release(docs.sparkSession)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -240,7 +255,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cap:
     members = packed.select("gram", "rep", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("pos"))
     release(docs.sparkSession)
 
-    hubs = members.groupBy("gram").agg(F.min(F.struct(F.xxhash64("rep", "gram").alias("x"), "rep", "n", "pos")).alias("hub"))
+    hubs = members.groupBy("gram").agg(F.min(F.struct(F.xxhash64("rep", F.pmod("gram", F.lit(HUBS))).alias("x"), "rep", "n", "pos")).alias("hub"))
     star = members.join(hubs, "gram").where(F.col("rep") != F.col("hub.rep"))
     star = star.where(_may_link(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
     pairs = star.select(*_ordered("rep", "hub.rep"))

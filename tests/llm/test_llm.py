@@ -742,6 +742,18 @@ def test_likeness_matches_brute_force(spark, odd, cap, common, monkeypatch):
     assert set_join.components(odd).count() == len(ODD) and set_join.components(odd.limit(0)).count() == 0
 
 
+def test_parities_never_rule_out_a_link():
+    rng = np.random.default_rng(4)
+    for n, m in [(0, 0), (0, 9), (1, 1), (300, 290), (4000, 3300), (3300, 4000), (30, 9000)]:
+        pool = rng.integers(0, 1 << 63, n + m, np.uint64)
+        for shared in (0, min(n, m) // 2, min(n, m)):
+            a, b = np.unique(pool[:n]), np.unique(np.concatenate([pool[:shared], pool[n : n + m - shared]]))
+            bits = set_join.differing(set_join.parities(a), set_join.parities(b))
+            assert bits <= len(np.setxor1d(a, b)) and bits == set_join.differing(set_join.parities(b), set_join.parities(a))
+            if n == 4000 and not shared:  # long sets of nothing in common are told apart
+                assert 9 * bits > len(a) + len(b)
+
+
 def test_pipeline_drops_near_copies_over_four_bits(spark):
     import corpus_pipeline
 
