@@ -38,7 +38,7 @@ def json_object(c: Column) -> Column:
 
 def lint_flags(c: Column, words: list[str], most: int, tag: str) -> Column:
     """Flags: too many connectives, missing tag."""
-    n = F.size(F.regexp_extract_all(F.lower(c), F.lit(r"\b(" + "|".join(words) + r")\b"), F.lit(1)))
+    n = F.size(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\b(" + "|".join(words) + r")\b"), F.lit(1)))
     return F.array_compact(F.array(F.when(n > most, F.lit("connectives")), F.when(~c.contains(f"<{tag}>"), F.lit("no_tag"))))
 
 
