@@ -80,6 +80,6 @@ def test_jitter_is_shared_by_a_window(spark):
 
 def test_texts_of_nested_values(spark):
     kind = "a array<array<string>>, s struct<x:string,y:array<int>>, t string, n string"
-    df = spark.createDataFrame([([["p ", None], None, []], {"k": 1, "l": 2}, (None, [3, 4]), "\t u v\n", None)], kind).withColumn("m", F.create_map(F.lit("k"), F.lit(1), F.lit("l"), F.lit(2)))
+    df = spark.createDataFrame([([["p ", None], None, []], (None, [3, 4]), "\t u v\n", None)], kind).withColumn("m", F.create_map(F.lit("k"), F.lit(1), F.lit("l"), F.lit(2)))
     got = df.select(*[drawing.as_text(F.col(f.name), f.dataType).alias(f.name) for f in df.schema]).first()
     assert got.asDict() == {"a": "p", "m": "1 2", "s": "3 4", "t": "u v", "n": "None"}
