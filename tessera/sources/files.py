@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import json
 import string
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,6 +168,48 @@ def write_per_entity(df: DataFrame, key: str, path: str) -> None:
     df.write.mode("overwrite").partitionBy(key).json(path)
 
 
+def append_results(records: DataFrame, path: str, key: str, work: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
+    """Work on the records that have no good result at ``path`` yet, append the new results there, and give the good ones, one a key.
+
+    ``work`` gives rows of ``schema``, which has ``key`` and ``error``; a result
+    is good if its error is null or empty. Results are only ever appended, so
+    work that was cut short goes on where it stopped; records whose last try
+    failed are tried again. Broken lines count as not done.
+    """
+    spark = records.sparkSession
+    # the first write makes the folder, so that there is something to read
+    spark.createDataFrame([], schema).write.mode("append").json(path)
+    good = lambda: read_jsonl(spark, path, schema, tolerant=True).where("coalesce(error, '') = ''")
+    done = good().select(key).distinct()
+    work(records.join(done, key, "left_anti")).write.mode("append").json(path)
+    return good().dropDuplicates([key])
+
+
+def write_scalars(points: DataFrame, path: str) -> None:
+    """(step, metric, value) as a table by metric; written again it replaces what was there, and a metric's points are in the order of steps."""
+    rows = points.select("step", "metric", F.col("value").cast("double").alias("value")).where("value is not null")
+    rows.repartition("metric").sortWithinPartitions("metric", "step").write.mode("overwrite").partitionBy("metric").parquet(path)
+
+
+def write_sheets(df: DataFrame, first: list[str], percent: list[str], path: str) -> None:
+    """Two tables of the same rows, raw and shown: ``first`` columns lead, and ``percent`` ones are shown as percentages of two digits.
+
+    They are CSV, since no writer of spreadsheets is at hand.
+    """
+    names = [c for c in first if c in df.columns] + [c for c in df.columns if c not in first]
+    shown = [F.when(F.col(c).isNotNull(), F.format_string("%.2f%%", F.col(c).cast("double") * 100)).alias(c) if c in percent else F.col(c) for c in names]
+    df.select(*names).write.mode("overwrite").option("header", True).csv(f"{path}/raw")
+    df.select(*shown).write.mode("overwrite").option("header", True).csv(f"{path}/shown")
+
+
+def replicated_view(df: DataFrame, name: str, path: str, times: Mapping[str, int], root: str) -> DataFrame:
+    """(view_path, path, replica): the files of a tree in which each name stands as often as ``times`` says, once if it says nothing; no file is copied."""
+    counts = F.coalesce(F.try_element_at(F.from_json(F.lit(json.dumps(dict(times))), "map<string,int>"), F.col(name)), F.lit(1))
+    rows = df.where(counts > 0).select(F.col(name).alias("_name"), F.col(path).alias("path"), F.explode(F.sequence(F.lit(0), counts - 1)).alias("replica"))
+    shown = F.when(F.col("replica") == 0, F.col("_name")).otherwise(F.concat_ws("__rep", "_name", F.col("replica").cast("string")))
+    return rows.select(F.concat(F.lit(root.rstrip("/") + "/"), shown).alias("view_path"), "path", "replica")
+
+
 def write_new(df: DataFrame, path: str) -> bool:
     """Write unless a finished table is there; Spark's commit makes it whole or absent."""
     try:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +30,38 @@ def fifo_buffers(stream: DataFrame, key: str, value: str, capacity: int) -> Data
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, size int, buffer array<double>", "held array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
+def bounded_buffers(stream: DataFrame, key: str, value: str, order: str, capacity: int, policy: str = "fifo", seed: int = 0) -> DataFrame:
+    """(key, size, seen, buffer): each key's vectors after each batch, ``capacity`` at most.
+
+    A vector that finds the buffer full takes the place of the oldest (fifo),
+    of a drawn one (random) or of the nearest, the first of ties (l2). Draws
+    come from the seed, the key and how many vectors came before, and a batch
+    is taken in the order of ``order``, so a batch run again gives the same.
+    """
+    if policy not in ("fifo", "random", "l2"):
+        raise ValueError(f"no such policy: {policy}")
+    kind = dict(stream.dtypes)[key]
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, seen = (list(map(list, state.get[0])), state.get[1]) if state.exists else ([], 0)
+        for x in pd.concat(list(frames)).sort_values(order)[value]:
+            x = [float(a) for a in x]
+            if len(held) < capacity:
+                held.append(x)
+            elif policy == "fifo":
+                held = held[1:] + [x]
+            elif policy == "random":
+                held[int(hashlib.md5(f"{seed}:{k[0]}:{seen}".encode()).hexdigest()[:8], 16) % capacity] = x
+            else:
+                held[int(np.argmin(((np.array(held) - x) ** 2).sum(1)))] = x
+            seen += 1
+        state.update((held, seen))
+        yield pd.DataFrame({key: [k[0]], "size": [len(held)], "seen": [seen], "buffer": [held]})
+
+    rows = stream.select(key, F.col(value).cast("array<double>").alias(value), order)
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, size int, seen long, buffer array<array<double>>", "held array<array<double>>, seen long", "update", GroupStateTimeout.NoTimeout)
+
+
 def moment_drift(stream: DataFrame, key: str, mean: str, var: str, rho: float = 0.9, mean_limit: float = 0.15, var_limit: float = 0.15) -> DataFrame:
     """(key, mean, var, drifts): running means and variances (arrays) after each batch and how many entries drifted so far.
 
