@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -106,22 +106,34 @@ def ema_drift(stream: DataFrame, key: str, value: str, rho: float = 0.9, thresho
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ema double, drifted boolean", "ema double", "update", GroupStateTimeout.NoTimeout)
 
 
-def newest_only(process: Callable[[DataFrame, int], None], step: str) -> Callable[[DataFrame, int], None]:
+def newest_only(process: Callable[[DataFrame, int], None], step: str, path: str | None = None) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: hand on only the rows of the largest step of a batch that is above all before.
 
-    A step counts as done only once ``process`` returned.
+    A step counts as done only once ``process`` returned. Done steps are
+    appended to the table at ``path``, on shared storage, so that a restart
+    goes on from there; without it they are forgotten then.
     """
-    done = [-1]
+    done: list[int] = []
 
     def each(batch: DataFrame, _: int) -> None:
+        if not done:
+            done.append(_last_step(batch.sparkSession, path) if path else -1)
         top = batch.agg(F.max(step)).first()[0]
         if top is not None and top > done[0]:
             process(batch.where(F.col(step) == top), top)
+            if path:
+                batch.sparkSession.createDataFrame([(int(top),)], "step long").coalesce(1).write.mode("append").parquet(path)
             done[0] = top
 
     return each
 
 
+def _last_step(spark: SparkSession, path: str) -> int:
+    spark.createDataFrame([], "step long").write.mode("append").parquet(path)  # there is a table from now on
+    top = spark.read.schema("step long").parquet(path).agg(F.max("step")).first()[0]
+    return -1 if top is None else top
+
+
 def tumbling(events: DataFrame, time: str, width: str, late: str, keys: list[str], value: str) -> DataFrame:
     """Counts and sums of tumbling time windows; rows later than ``late`` are dropped. An addition to the inventory."""
     w = events.withWatermark(time, late).groupBy(F.window(time, width), *keys)
@@ -135,19 +147,32 @@ def sessions(events: DataFrame, time: str, gap: str, late: str, key: str) -> Dat
 
 
 def score(rows: DataFrame, scorer: Callable[[pd.DataFrame], dict[str, list[float]]], key: str, name: str) -> DataFrame:
-    """Adapter of an external scorer: (key, metrics, errors). A batch or row that fails fills errors and never raises."""
+    """Adapter of an external scorer: (key, metrics, errors). A row that fails fills errors and never raises.
+
+    The scorer gets whole batches and gives a value a row for each metric; only
+    if a batch fails, or has another number of values, is it scored row by row.
+    """
     kind = dict(rows.dtypes)[key]
 
+    def whole(f: pd.DataFrame) -> list[dict[str, float]]:
+        got = {k: [float(x) for x in v] for k, v in scorer(f).items()}
+        if any(len(v) != len(f) for v in got.values()):
+            raise ValueError("a scorer gives one value a row")
+        return [{k: v[i] for k, v in got.items()} for i in range(len(f))]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            metrics, errors = [], []
-            for i in range(len(f)):
-                try:
-                    metrics.append({k: float(v[0]) for k, v in scorer(f.iloc[i : i + 1]).items()})
-                    errors.append({})
-                except Exception as e:  # the contract: errors are data
-                    metrics.append({})
-                    errors.append({name: str(e)})
+            errors: list[dict[str, str]] = [{} for _ in range(len(f))]
+            try:
+                metrics = whole(f)
+            except Exception:  # some row of the batch; which one shows below
+                metrics = []
+                for i in range(len(f)):
+                    try:
+                        metrics += whole(f.iloc[i : i + 1])
+                    except Exception as e:  # the contract: errors are data
+                        metrics.append({})
+                        errors[i] = {name: str(e)}
             yield pd.DataFrame({key: f[key], "metrics": metrics, "errors": errors})
 
     return rows.mapInPandas(run, f"{key} {kind}, metrics map<string,double>, errors map<string,string>")

@@ -167,3 +167,38 @@ def test_suite_and_preflight(tmp_path):
     good = hashlib.sha256(b"abc").hexdigest()
     assert suite.preflight(["json"], {str(f): good.upper()}) == []
     assert len(suite.preflight(["no_such_package"], {str(f): "0" * 64, str(tmp_path / "g"): None})) == 3
+
+
+def test_newest_steps_outlive_a_restart(spark, tmp_path):
+    seen, path = [], str(tmp_path / "done")
+    batch = lambda *steps: spark.createDataFrame([(s,) for s in steps], "s long")
+    take = lambda rows, top: seen.append((top, rows.count()))
+
+    def fail(rows, top):
+        raise RuntimeError("lost")
+
+    first = state.newest_only(take, "s", path)
+    first(batch(1, 3, 3, 2), 0)
+    first(batch(3, 2), 1)
+    with pytest.raises(RuntimeError):
+        state.newest_only(fail, "s", path)(batch(7), 2)
+    again = state.newest_only(take, "s", path)
+    again(batch(3), 2)
+    again(batch(7), 3)
+    again(batch(), 4)
+    assert seen == [(3, 2), (7, 1)]
+
+
+def test_scorer_gets_batches(spark):
+    def scorer(f):
+        if (f["x"] < 0).any():
+            raise ValueError("below zero")
+        return {"twice": f["x"] * 2, "rows": [len(f)] * len(f)}
+
+    df = spark.createDataFrame([(i, float(i)) for i in range(6)], "k long, x double").coalesce(1)
+    good = state.score(df, scorer, "k", "m").collect()
+    assert all(r["metrics"] == {"twice": 2.0 * r["k"], "rows": 6.0} and not r["errors"] for r in good)
+    mixed = {r["k"]: r for r in state.score(df.withColumn("x", F.when(F.col("k") == 2, -1.0).otherwise(F.col("x"))), scorer, "k", "m").collect()}
+    assert mixed[2]["metrics"] == {} and mixed[2]["errors"] == {"m": "below zero"} and mixed[3]["metrics"]["twice"] == 6 and not mixed[3]["errors"]
+    short = state.score(df, lambda f: {"m": [1.0] if len(f) > 1 else []}, "k", "m").collect()
+    assert all(r["errors"] == {"m": "a scorer gives one value a row"} for r in short)
