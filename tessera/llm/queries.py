@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, embed_dedup, language_id, mixing, pseudonyms, simhash, substring_dedup, token_counts, warc, winnow
+from tessera.llm import bpe, embed_dedup, itemsets, language_id, mixing, pseudonyms, simhash, substring_dedup, token_counts, warc, winnow
 from tessera.llm.common import table
 
 
@@ -59,6 +59,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "sale_lines").where(~F.col("flag").eqNullSafe("returned")).select("sale_id", "item_id")
+    return itemsets.digest(itemsets.closed_itemsets_with_rules(lines))
+
+
 #: RFC 4648 base 32 of a SHA-1 in hex: five bits at a time.
 _BASE32 = """array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
   (list_reduce(list_transform(range(0, 5), lambda b: (strpos('0123456789abcdef', substr(h, 1 + ((5*i+b)//4)::int, 1)) - 1) // [8,4,2,1][1 + ((5*i+b)%4)::int] % 2), lambda a, x: a*2 + x))::int, 1)), '')"""
@@ -90,11 +95,31 @@ l as (select a.vec_id as a, b.vec_id as b from g a join g b on a.label = b.label
 walk as (select vec_id as a, vec_id as b from v union select walk.a, l.b from walk join l on walk.b = l.a)
 select v.vec_id, (select count(*) from l where l.a = v.vec_id)::bigint as n_links, c.component_id, v.vec_id = c.component_id as kept
 from v join (select a, min(b) as component_id from walk group by a) c on v.vec_id = c.a""",
+    "op11_itemsets": """
+with recursive b as (select distinct sale_id, item_id from sale_lines where flag is distinct from 'returned' and sale_id is not null and item_id is not null),
+t as (select count(distinct sale_id) as nb from b),
+f as (select item_id, count(*) as s from b group by item_id having count(*) >= 8 and count(*) * 2000 >= (select nb from t)),
+fb as (select sale_id, item_id from b join f using (item_id)),
+o as (select [item_id] as items, item_id as last, sale_id from fb
+  union all
+  select items, last, sale_id from (
+    select list_append(o.items, fb.item_id) as items, fb.item_id as last, o.sale_id, count(*) over (partition by list_append(o.items, fb.item_id)) as n
+    from o join fb on fb.sale_id = o.sale_id and fb.item_id > o.last)
+  where n >= 8 and n * 2000 >= (select nb from t)),
+s as (select items, count(*) as n from o group by items),
+p as (select items, n, c, list_filter(items, lambda x: x <> c) as rest from (select items, n, unnest(items) as c from s)),
+closed as (select items, n from s anti join p on p.rest = s.items and p.n = s.n),
+r as (select p.items, p.c, a.n as a, f.s from closed join p on p.items = closed.items join s a on a.items = p.rest join f on f.item_id = p.c
+  where 100 * closed.n >= 10 * a.n and closed.n * (select nb from t) > a.n * f.s),
+g as (select items, count(*) as n_rules, min({'a': a, 'c': c}).c as best_item, string_agg(c || ':' || a || ':' || s, ';' order by c) as rules from r group by items)
+select array_to_string(list_sort(closed.items), ',') as items, len(closed.items)::bigint as n_items, closed.n::bigint as support, coalesce(n_rules, 0)::bigint as n_rules,
+  best_item::bigint as best_item, sha256(coalesce(rules, '')) as rules_sha256
+from closed left join g on g.items = closed.items""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op2_language_id, op3_fingerprints, op4_substring_dedup, op5_pseudonyms, op6_embedding_dedup, op7_mixing, op8_token_counts, op9_bpe, op10_simhash)
+    for f in (op1_warc, op2_language_id, op3_fingerprints, op4_substring_dedup, op5_pseudonyms, op6_embedding_dedup, op7_mixing, op8_token_counts, op9_bpe, op10_simhash, op11_itemsets)
 }
 
 __all__ = ["ORACLE", "QUERIES"]
