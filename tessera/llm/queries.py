@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, embed_dedup, itemsets, language_id, mixing, pseudonyms, simhash, substring_dedup, token_counts, warc, winnow
+from tessera.llm import bpe, embed_dedup, itemsets, language_id, mixing, pseudonyms, simhash, spelling, substring_dedup, token_counts, warc, winnow
 from tessera.llm.common import table
 
 
@@ -64,6 +64,10 @@ def op11_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itemsets.digest(itemsets.closed_itemsets_with_rules(lines))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"))).select("word", "n", "n_near", "form", "form_n", "root")
+
+
 #: RFC 4648 base 32 of a SHA-1 in hex: five bits at a time.
 _BASE32 = """array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
   (list_reduce(list_transform(range(0, 5), lambda b: (strpos('0123456789abcdef', substr(h, 1 + ((5*i+b)//4)::int, 1)) - 1) // [8,4,2,1][1 + ((5*i+b)%4)::int] % 2), lambda a, x: a*2 + x))::int, 1)), '')"""
@@ -115,11 +119,38 @@ g as (select items, count(*) as n_rules, min({'a': a, 'c': c}).c as best_item, s
 select array_to_string(list_sort(closed.items), ',') as items, len(closed.items)::bigint as n_items, closed.n::bigint as support, coalesce(n_rules, 0)::bigint as n_rules,
   best_item::bigint as best_item, sha256(coalesce(rules, '')) as rules_sha256
 from closed left join g on g.items = closed.items""",
+    # a CRC is the exclusive or of what each byte gives at its distance from the end; runs too short for a word are left out before
+    "op12_spelling": r"""
+with recursive r as (select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low, count(*) as n
+  from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as run from documents) where length(run) >= 6 group by 1, 2),
+m as (select low, n, hex(encode(concat_ws(':', doc_id, low))) as hx, row_number() over () as k from r),
+crc as (
+  select 0 as dist, b, list_reduce(list_prepend(b::bigint, range(0, 8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1))) as v from range(0, 256) t(b)
+  union all
+  select c.dist + 1, c.b, xor(c.v >> 8, z.v) from crc c join (select b, list_reduce(list_prepend(b::bigint, range(0, 8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1))) as v from range(0, 256) t(b)) z
+    on z.b = (c.v & 255) where c.dist < (select max(length(hx)) // 2 from m)),
+tab as (select dist, lpad(printf('%X', b), 2, '0') as hx, v from crc),
+bytes as (select k, length(hx) // 2 as len, i, substr(hx, 2 * i + 1, 2) as hx from (select k, hx, unnest(range(length(hx) // 2)) as i from m)),
+flipped as (select k, len - 1 - i as dist, case when i < 4 then printf('%02X', xor(255, ('0x' || hx)::int)) else hx end as hx from bytes),
+h as (select k, xor(bit_xor(v), 4294967295) as h from flipped join tab using (dist, hx) group by k),
+w as (select case when h % 199 = 0 then substr(low, 1, (h % length(low))::bigint) || substr(low, (h % length(low))::bigint + 2) else low end as word, n from m join h using (k)),
+voc as (select word, sum(n)::bigint as n from w where length(word) >= 6 group by word having sum(n) >= 5),
+d as (select word, n, i, substr(word, 1, i) || substr(word, i + 2) as less from (select word, n, unnest(range(length(word))) as i from voc)),
+near as (
+  select a.word, a.n, b.word as other, b.n as other_n from d a join d b on a.less = b.less and a.i = b.i and a.word <> b.word
+  union select a.word, a.n, b.word, b.n from d a join voc b on a.less = b.word
+  union select b.word, b.n, a.word, a.n from d a join voc b on a.less = b.word),
+best as (select word, count(*) as n_near, max(other_n) as top from near group by word),
+form as (select near.word, min(other) as form, any_value(other_n) as form_n from near join best on best.word = near.word and other_n = top where other_n >= 5 * n group by near.word),
+walk as (select word, form as goal from form union all select walk.word, form.form from walk join form on form.word = walk.goal)
+select voc.word, voc.n, coalesce(n_near, 0)::bigint as n_near, form.form, form.form_n, coalesce(ends.goal, voc.word) as root
+from voc left join best on best.word = voc.word left join form on form.word = voc.word
+left join (select walk.word, walk.goal from walk where goal not in (select word from form)) ends on ends.word = voc.word""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op2_language_id, op3_fingerprints, op4_substring_dedup, op5_pseudonyms, op6_embedding_dedup, op7_mixing, op8_token_counts, op9_bpe, op10_simhash, op11_itemsets)
+    for f in (op1_warc, op2_language_id, op3_fingerprints, op4_substring_dedup, op5_pseudonyms, op6_embedding_dedup, op7_mixing, op8_token_counts, op9_bpe, op10_simhash, op11_itemsets, op12_spelling)
 }
 
 __all__ = ["ORACLE", "QUERIES"]
