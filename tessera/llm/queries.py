@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, embed_dedup, itemsets, language_id, mixing, pseudonyms, simhash, spelling, substring_dedup, token_counts, warc, winnow
+from tessera.llm import bpe, embed_dedup, itemsets, language_id, mixing, pseudonyms, simhash, spelling, substring_dedup, token_counts, topk, warc, winnow
 from tessera.llm.common import table
 
 
@@ -68,6 +68,11 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"))).select("word", "n", "n_near", "form", "form_n", "root")
 
 
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(rows, rows.where(F.col("vec_id") % 20 == 0))
+
+
 #: RFC 4648 base 32 of a SHA-1 in hex: five bits at a time.
 _BASE32 = """array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
   (list_reduce(list_transform(range(0, 5), lambda b: (strpos('0123456789abcdef', substr(h, 1 + ((5*i+b)//4)::int, 1)) - 1) // [8,4,2,1][1 + ((5*i+b)%4)::int] % 2), lambda a, x: a*2 + x))::int, 1)), '')"""
@@ -146,11 +151,16 @@ walk as (select word, form as goal from form union all select walk.word, form.fo
 select voc.word, voc.n, coalesce(n_near, 0)::bigint as n_near, form.form, form.form_n, coalesce(ends.goal, voc.word) as root
 from voc left join best on best.word = voc.word left join form on form.word = voc.word
 left join (select walk.word, walk.goal from walk where goal not in (select word from form)) ends on ends.word = voc.word""",
+    "op13_topk": """
+with v as (select distinct vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as query_id, a.e as q, b.vec_id, list_dot_product(a.e, b.e)::bigint as score from v a join v b on a.vec_id % 20 = 0 and b.vec_id is distinct from a.vec_id and len(a.e) = len(b.e))
+select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id, q order by score desc, vec_id nulls last) as rank from s) where rank <= 20""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op2_language_id, op3_fingerprints, op4_substring_dedup, op5_pseudonyms, op6_embedding_dedup, op7_mixing, op8_token_counts, op9_bpe, op10_simhash, op11_itemsets, op12_spelling)
+    for f in (op1_warc, op2_language_id, op3_fingerprints, op4_substring_dedup, op5_pseudonyms, op6_embedding_dedup, op7_mixing, op8_token_counts, op9_bpe, op10_simhash, op11_itemsets, op12_spelling, op13_topk)
 }
 
 __all__ = ["ORACLE", "QUERIES"]
