@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,13 +31,93 @@ def trapezoid(values: Column) -> Column:
     return F.when(n < 2, F.lit(0.0)).otherwise(total - (values[0] + F.element_at(values, -1)) / 2)
 
 
-def theil_sen(values: Column) -> Column:
-    """Median of all pairwise slopes of one array; null below two values."""
-    pairs = F.flatten(F.transform(values, lambda v, i: F.transform(F.slice(values, i + 2, F.size(values)), lambda w, j: (w - v) / (j + 1))))
-    s = F.array_sort(pairs)
-    n = F.size(s)
-    low, high = F.get(s, F.floor((n - 1) / 2).cast("int")), F.get(s, F.floor(n / 2).cast("int"))
-    return F.when(n > 0, (low + high) / 2)
+def _slopes_up_to(y: np.ndarray, t: float) -> int:
+    """How many pairwise slopes of the series ``y`` are at most ``t``: the pairs that y - t*i puts in falling order or ties."""
+    n = len(y)
+    order = np.argsort(-(y - t * np.arange(n)), kind="stable")  # falling values; of equal ones the earlier is first
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    # pairs i < j with rank i < rank j, digit by digit of the rank: within those of equal higher digits a 0 comes before a 1
+    total = 0
+    for bit in reversed(range(max(1, int(n - 1).bit_length()))):
+        one = rank >> bit & 1
+        group = rank >> (bit + 1)
+        at = np.argsort(group, kind="stable")
+        g, o = group[at], one[at]
+        zeros = np.cumsum(1 - o)
+        start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        before = np.repeat((zeros - (1 - o))[start], np.diff(np.r_[start, n]))
+        total += int(((zeros - before) * o).sum())
+    return total
+
+
+def _slopes_between(y: np.ndarray, lo: float, hi: float) -> np.ndarray:
+    """The slopes above ``lo`` and up to ``hi``: the pairs whose order the two lines change."""
+    i = np.arange(len(y))
+    order = np.argsort(-(y - lo * i), kind="stable")
+    place = np.empty(len(y), np.int64)
+    place[np.argsort(-(y - hi * i), kind="stable")] = i
+    held: list[int] = []
+    index: list[np.ndarray] = []
+    who = np.empty(len(y), np.int64)
+    who[place] = i  # by place at hi
+    out = []
+    for k in order:  # by place at lo; those held that lie behind at hi have changed with k
+        at = bisect.bisect(held, place[k])
+        if at < len(held):
+            j = who[held[at:]]
+            out.append((y[j] - y[k]) / (j - k))
+        held.insert(at, int(place[k]))
+    return np.concatenate(out) if out else np.empty(0)
+
+
+def kth_slope(y: np.ndarray, k: int, seed: int = 0) -> float:
+    """The ``k``-th smallest (from 0) of all pairwise slopes, without holding them all.
+
+    An interval with the wanted slope is narrowed by slopes of drawn pairs,
+    counting by inversions, until it holds few enough to be listed: n log n
+    time a count and n memory.
+    """
+    n, rng = len(y), np.random.default_rng(seed)
+    spread = float(np.abs(np.diff(y)).max()) * (n - 1) + 1.0
+    lo, hi, below, up_to = -spread, spread, 0, n * (n - 1) // 2
+    while up_to - below > 16 * n and hi - lo > 1e-12 * max(1.0, abs(lo), abs(hi)):
+        a, b = rng.integers(0, n, 4 * n), rng.integers(0, n, 4 * n)
+        s = (y[b] - y[a])[a != b] / (b - a)[a != b]
+        s = np.sort(s[(s > lo) & (s < hi)])
+        share = (k - below + 0.5) / (up_to - below)
+        if len(s) >= 32:
+            near = 2 * (share * (1 - share) / len(s)) ** 0.5 + 1 / len(s)
+            cuts = [float(s[min(len(s) - 1, max(0, int((share + d) * len(s))))]) for d in (-near, near)]
+        else:
+            cuts = [lo + (hi - lo) / 2]
+        for t in cuts:
+            if lo < t < hi:
+                c = _slopes_up_to(y, t)
+                if c <= k:
+                    lo, below = t, c
+                else:
+                    hi, up_to = t, c
+    if up_to - below > 16 * n:  # so many slopes are equal
+        return hi
+    inside = np.sort(_slopes_between(y, lo, hi))
+    return float(inside[min(max(k - below, 0), len(inside) - 1)]) if len(inside) else hi
+
+
+def theil_sen(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """(key, slope): median of all pairwise slopes of each key's series at unit spacing; null below two values.
+
+    A key's series is held in one task, its pairs never are.
+    """
+    rows = df.select(key, F.col(order).alias("_o"), F.col(value).cast("double").alias("_v"))
+
+    def one(t: pa.Table) -> pa.Table:
+        y = t.sort_by("_o")["_v"].to_numpy()
+        pairs = len(y) * (len(y) - 1) // 2
+        slope = (kth_slope(y, (pairs - 1) // 2) + kth_slope(y, pairs // 2)) / 2 if pairs else None
+        return pa.table({key: t[key].slice(0, 1), "slope": pa.array([slope], pa.float64())})
+
+    return rows.groupBy(key).applyInArrow(one, f"{key} {dict(df.dtypes)[key]}, slope double")
 
 
 def ordered_values(df: DataFrame, key: str, order: str, value: str, name: str = "series") -> DataFrame:
@@ -146,25 +231,40 @@ def edge_share(total: Column, ratio: float = 0.15, least: int = 1) -> Column:
     return F.least(F.greatest(F.lit(least), F.floor(total * ratio)), total).cast("long")
 
 
-def spectrum_ratio(df: DataFrame, key: str, order: str, value: str, period: int) -> DataFrame:
-    """Amplitude of each clip's absolute steps at 1/period, over the median amplitude between 1/100 and 1/5.
+def amplitude(values: Column, k: Column) -> Column:
+    """Height of ``k`` whole waves over the array ``values``, by Goertzel's recursion: one pass with two numbers of state."""
+    turn = 2 * F.cos(2 * math.pi * k / F.size(values))
+    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
+    last = F.aggregate(values, zero, lambda s, x: F.struct((x + turn * s["a"] - s["b"]).alias("a"), s["a"].alias("b")))
+    return F.sqrt(F.greatest(F.lit(0.0), last["a"] * last["a"] + last["b"] * last["b"] - turn * last["a"] * last["b"]))
+
+
+#: The band that a peak is compared with lies between 1/100 and 1/5 of a wave a step.
+BAND = ((1, 100), (1, 5))
 
-    Null for fewer than three periods of steps and where that band is empty.
-    """
-    import numpy as np
-    import pandas as pd
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        step = np.abs(np.diff(pdf.sort_values(order)[value].to_numpy(float)))
-        ratio = None
-        if len(step) >= 3 * period:
-            height, at = np.abs(np.fft.rfft(step - step.mean())), np.fft.rfftfreq(len(step))
-            middle = height[(at > 0.01) & (at < 0.2)]
-            if len(middle) and np.median(middle) > 0:
-                ratio = float(height[np.abs(at - 1 / period).argmin()] / np.median(middle))
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "ratio": [ratio]})
+def spectrum_ratio(df: DataFrame, key: str, order: str, value: str, period: int) -> DataFrame:
+    """(key, ratio): how high the wave of ``period`` stands in each key's absolute steps, over the median height in ``BAND``.
 
-    return df.select(key, order, value).groupBy(key).applyInPandas(one, f"{key} {dict(df.dtypes)[key]}, ratio double")
+    Null for fewer than three periods of steps, and where the band is empty or
+    flat. Of two waves equally near the period the longer is taken. Each height
+    is a row of its own, so the waves of one long series are worked out by many tasks.
+    """
+    (a, b), (c, d) = BAND
+    rows = ordered_values(df, key, order, value, "_y")
+    steps = F.zip_with(F.slice("_y", 2, F.size("_y")), F.slice("_y", 1, F.greatest(F.size("_y") - 1, F.lit(0))), lambda x, y: F.abs(x - y))
+    rows = rows.select(key, steps.alias("_s")).withColumn("_n", F.size("_s"))
+    long = rows.where(F.col("_n") >= 3 * period)
+    mean = F.aggregate("_s", F.lit(0.0), lambda s, x: s + x) / F.col("_n")
+    n = F.col("_n")
+    floor = F.floor(n / period)
+    # whole waves nearest n / period, the fewer of two equally near
+    peak = F.least(F.when((floor + 1) * period - n < n - floor * period, floor + 1).otherwise(floor), F.floor(n / 2)).cast("int")
+    long = long.select(key, "_n", F.transform("_s", lambda x: x - mean).alias("_s"), peak.alias("_peak"))
+    waves = long.withColumn("_k", F.explode(F.sequence(F.lit(1), F.floor(n / 2).cast("int")))).where(F.col("_k").eqNullSafe(F.col("_peak")) | ((F.col("_k") * b > n * a) & (F.col("_k") * d < n * c)))
+    high = waves.select(key, (F.col("_k") == F.col("_peak")).alias("_top"), ((F.col("_k") * b > n * a) & (F.col("_k") * d < n * c)).alias("_in"), amplitude(F.col("_s"), F.col("_k")).alias("_h"))
+    out = high.groupBy(key).agg(F.max(F.when(F.col("_top"), F.col("_h"))).alias("_p"), F.median(F.when(F.col("_in"), F.col("_h"))).alias("_m"))
+    return rows.select(key).join(out, key, "left").select(key, F.when(F.col("_m") > 0, F.col("_p") / F.col("_m")).alias("ratio"))
 
 
 def boundary_stats(df: DataFrame, key: str, order: str, value: str, period: int) -> DataFrame:
@@ -204,14 +304,18 @@ def moment_drift(moments: Column, rho_mean: float = 0.9, rho_var: float = 0.9, m
     return F.aggregate(F.slice(moments, F.lit(2), F.greatest(F.size(moments) - 1, F.lit(0))), start, step)
 
 
-def sampled_theil_sen(values: Column, cap: int = 4000, seed: int = 0) -> Column:
-    """theil_sen() of up to ``cap`` pairs; of longer series the median slope of ``cap`` seeded pairs, self-pairs left out."""
-    n = F.size(values)
+def sampled_theil_sen(df: DataFrame, key: str, order: str, value: str, cap: int = 4000, seed: int = 0) -> DataFrame:
+    """theil_sen() of series of up to ``cap`` pairs; of longer ones the median slope of ``cap`` seeded pairs, self-pairs left out."""
+    rows = ordered_values(df, key, order, value)
+    n = F.size("series")
     at = lambda k, side: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), k.cast("string"), F.lit(side))), 1, 8), 16, 10).cast("long") % n).cast("int")
-    slope = lambda a, b: F.when(a != b, (F.get(values, b) - F.get(values, a)) / (b - a))
-    s = F.array_sort(F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(cap - 1)), lambda k: slope(at(k, "a"), at(k, "b")))))
-    middle = lambda up: F.get(s, F.floor((F.size(s) - 1 + up) / 2).cast("int"))
-    return F.when(n * (n - 1) / 2 <= cap, theil_sen(values)).otherwise((middle(0) + middle(1)) / 2)
+    slope = lambda a, b: F.when(a != b, (F.get("series", b) - F.get("series", a)) / (b - a))
+    drawn = F.array_sort(F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(cap - 1)), lambda k: slope(at(k, "a"), at(k, "b")))))
+    middle = lambda up: F.get("_s", F.floor((F.size("_s") - 1 + up) / 2).cast("int"))
+    many = n * (n - 1) / 2 > cap
+    sampled = rows.where(many).withColumn("_s", drawn).select(key, ((middle(0) + middle(1)) / 2).alias("slope"))
+    few = rows.where(~many).select(key, F.posexplode("series").alias("_i", "_v"))
+    return sampled.unionByName(theil_sen(few, key, "_i", "_v"))
 
 
 def runaway(first: Column, third: Column, last: Column, n: Column) -> Column:

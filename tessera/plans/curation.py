@@ -51,26 +51,19 @@ def _(t):
     return m.groupBy("label").agg(F.max_by("head", "m").alias("top_head"), r4(F.max("m"), 5).alias("top"), r4(F.avg("m"), 5).alias("mean"))
 
 
-@query("AGG21_theil_sen_sampled", f"""with {SERIES}, v as (select user_id, list(value order by i) as v from series where i < 30 group by 1),
-  p as (select user_id, v, k, (('0x' || substr(md5('3:' || k || ':a'), 1, 8))::bigint % len(v))::int as a, (('0x' || substr(md5('3:' || k || ':b'), 1, 8))::bigint % len(v))::int as b
-    from v, (select unnest(range(0, 60)) as k) where len(v) * (len(v) - 1) / 2 > 60),
-  e as (select user_id, v, unnest(range(0, len(v))) as a from v where len(v) * (len(v) - 1) / 2 <= 60),
-  s as (select user_id, (v[b + 1] - v[a + 1]) / (b - a) as s from p where a <> b union all
-    select user_id, (v[b + 1] - v[a + 1]) / (b - a) from (select user_id, v, a, unnest(range(a + 1, len(v))) as b from e))
-  select v.user_id, round(median(s), 5) as slope from v left join s on v.user_id = s.user_id group by 1""")
-def _(t):
-    return series.ordered_values(t.series.where("i < 30"), "user_id", "i", "value").select("user_id", r4(series.sampled_theil_sen(F.col("series"), 60, 3), 5).alias("slope"))
-
-
-@query("AGG21_theil_sen_sampled_whole", f"""with {SERIES}, v as (select user_id, list(value order by i) as v from series group by 1),
+_SAMPLED = f"""with {SERIES}, v as (select user_id, list(value order by i) as v from series group by 1),
   p as (select user_id, v, k, (('0x' || substr(md5('3:' || k || ':a'), 1, 8))::bigint % len(v))::int as a, (('0x' || substr(md5('3:' || k || ':b'), 1, 8))::bigint % len(v))::int as b
     from v, (select unnest(range(0, 4000)) as k) where len(v) * (len(v) - 1) / 2 > 4000),
   e as (select user_id, v, unnest(range(0, len(v))) as a from v where len(v) * (len(v) - 1) / 2 <= 4000),
   s as (select user_id, (v[b + 1] - v[a + 1]) / (b - a) as s from p where a <> b union all
     select user_id, (v[b + 1] - v[a + 1]) / (b - a) from (select user_id, v, a, unnest(range(a + 1, len(v))) as b from e))
-  select v.user_id, round(median(s), 5) as slope from v left join s on v.user_id = s.user_id group by 1""")
+  select v.user_id, round(median(s), 5) as slope from v left join s on v.user_id = s.user_id group by 1"""
+
+
+@query("AGG21_theil_sen_sampled", _SAMPLED)
+@query("AGG21_theil_sen_sampled_whole", _SAMPLED)
 def _(t):
-    return series.ordered_values(t.series, "user_id", "i", "value").select("user_id", r4(series.sampled_theil_sen(F.col("series"), 4000, 3), 5).alias("slope"))
+    return series.sampled_theil_sen(t.series, "user_id", "i", "value", 4000, 3).select("user_id", r4("slope", 5).alias("slope"))
 
 
 @query("AGG22_total_rating", "select l_returnflag as k, round(sum(case when l_quantity <= 40 then l_quantity * l_linenumber else 0 end), 4) as total from lineitem group by 1")
@@ -114,9 +107,16 @@ def _(t):
     return n.join(w, "user_id").select("user_id", series.runaway(F.col("a"), F.col("c"), F.col("d"), F.col("n")).alias("runaway"))
 
 
-@query("WIN15_spectrum", None)
+@query("WIN15_spectrum", f"""with {SERIES}, d as (select a.user_id, a.i, abs(b.value - a.value) as s from series a join series b on a.user_id = b.user_id and b.i = a.i + 1),
+  m as (select user_id, count(*) as n, avg(s) as mean from d group by 1),
+  k as (select user_id, n, mean, unnest(range(1, n // 2 + 1)) as k from m where n >= 21),
+  near as (select user_id, arg_min(k, abs(k * 7 - n) * 1000000 + k) as peak from k group by 1),
+  h as (select k.user_id, k.k, any_value(k.n) as n, sqrt(sum((s - mean) * cos(2 * pi() * k.k * i / n)) ** 2 + sum((s - mean) * sin(2 * pi() * k.k * i / n)) ** 2) as h
+    from k join d on d.user_id = k.user_id group by 1, 2),
+  r as (select h.user_id, max(case when k = peak then h end) as p, median(case when k * 100 > n and k * 5 < n then h end) as m from h join near on near.user_id = h.user_id group by 1)
+  select u.user_id, round(case when m > 0 then p / m end, 5) as ratio from (select distinct user_id from series) u left join r on r.user_id = u.user_id""")
 def _(t):
-    return series.spectrum_ratio(t.series, "user_id", "i", "value", 7)
+    return series.spectrum_ratio(t.series, "user_id", "i", "value", 7).select("user_id", r4("ratio", 5).alias("ratio"))
 
 
 @query("WIN17_switches", f"select clip, array_to_string(list(c order by c)::varchar[], ',') as switches from (select clip, event, min(chunk) as c from ({SQL['JN13_interval_owner']}) x group by 1, 2) where event > 0 group by 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import ranking, rows
+from tessera.operators import intervals, ranking, rows
 from tessera.plans.registry import CLIPS, query, r4
 
 
@@ -171,19 +171,41 @@ def _(t):
     return a.join(b, "k", "left").select("k", "i", (F.col("l_quantity") - F.col("b")).alias("delta"))
 
 
-@query("JN13_interval_owner", f"""with {CLIPS}, e as (select clip, unnest([0, 1, 2]) as ev, (frames * 0.3)::bigint as c1, (frames * 0.55)::bigint as c2, frames from clips where frames >= 66),
+def _events(t):
+    """Three events a clip: from its start, from 0.3 and from 0.55 of its frames."""
+    n = F.col("frames")
+    # 0.3 and 0.55 of a frame count that is a multiple of ten never lie on the half except for 0.55 of odd tens
+    cuts = F.array(F.lit(0).cast("long"), F.round(n * 0.3).cast("long"), F.round(n * 0.55).cast("long"), n)
+    rows = t.clips.select("clip", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("event"), cuts.alias("_c"))
+    return rows.select("clip", "event", F.get("_c", F.col("event")).alias("start"), F.get("_c", F.col("event") + 1).alias("stop"))
+
+
+def _chunks(t):
+    """Whole chunks of 33 frames."""
+    rows = t.clips.where("frames >= 33").select("clip", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("frames") / 33) - 1)).alias("chunk"))
+    return rows.select("clip", "chunk", (F.col("chunk") * 33).alias("lo"), (F.col("chunk") * 33 + 33).alias("hi"))
+
+
+@query("JN13_interval_owner", f"""with {CLIPS}, e as (select clip, unnest([0, 1, 2]) as ev, (frames * 0.3)::bigint as c1, (frames * 0.55)::bigint as c2, frames from clips),
   b as (select clip, ev, [0, c1, c2][1 + ev] as s, [c1, c2, frames][1 + ev] as z, frames from e),
-  k as (select clip, unnest(range(0, frames // 33)) as chunk from clips where frames >= 66)
+  k as (select clip, unnest(range(0, frames // 33)) as chunk from clips)
   select clip, chunk, ev as event from (select k.clip, k.chunk, b.ev, row_number() over (partition by k.clip, k.chunk
     order by greatest(0, least(k.chunk * 33 + 33, b.z) - greatest(k.chunk * 33, b.s)) desc, b.ev) as r from k join b on k.clip = b.clip) where r = 1""")
 def _(t):
-    c = t.clips.where("frames >= 66")
-    # 0.3 and 0.55 of a frame count that is a multiple of ten never lie on the half except for 0.55 of odd tens
-    c1, c2 = (F.round(F.col("frames") * x).cast("long") for x in (0.3, 0.55))
-    c = c.withColumn("starts", F.array(F.lit(0).cast("long"), c1, c2)).withColumn("ends", F.array(c1, c2, F.col("frames")))
-    c = c.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("frames") / 33) - 1)))
-    lo = F.col("chunk") * 33
-    return c.select("clip", "chunk", rows.interval_owner(lo, lo + 33, F.col("starts"), F.col("ends")).cast("int").alias("event"))
+    return intervals.owners(_chunks(t), _events(t), ["clip"], "chunk", ("lo", "hi"), "event", ("start", "stop"), 33)
+
+
+@query("JN13_overlaps", """with s as (select client_id, sale_id, epoch_us(sold_at) as lo, epoch_us(sold_at) + 600000000::bigint * (1 + coalesce(priority, 0)) as hi from sales where sold_at is not null),
+  c as (select client_id, click_id, epoch_us(ts) as lo, epoch_us(ts) + 120000000 as hi from clicks where ts is not null)
+  select s.client_id, s.sale_id, c.click_id, count(*)::bigint as n, sum(least(s.hi, c.hi) - greatest(s.lo, c.lo))::bigint as overlap
+  from s join c on s.client_id = c.client_id and s.lo < c.hi and c.lo < s.hi group by 1, 2, 3""")
+def _(t):
+    """Clicks on screen (two minutes) while a sale of the same client is open (ten minutes and more by priority)."""
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    s = t.sales.where("sold_at is not null").select("client_id", "sale_id", us("sold_at").alias("lo"), (us("sold_at") + F.lit(600_000_000).cast("long") * (1 + F.coalesce("priority", F.lit(0)))).alias("hi"))
+    c = t.clicks.where("ts is not null").select("client_id", "click_id", us("ts").alias("start"), (us("ts") + 120_000_000).alias("stop"))
+    pairs = intervals.overlapping(s, c, ["client_id"], ("lo", "hi"), ("start", "stop"), 600_000_000)
+    return pairs.groupBy("client_id", F.col("l.sale_id").alias("sale_id"), F.col("r.click_id").alias("click_id")).agg(F.count(F.lit(1)).alias("n"), F.sum("overlap").alias("overlap"))
 
 
 @query("JN14_prompt_by_index", "select c_custkey as k, coalesce(n_name, '') as prompt from customer left join nation on c_custkey = n_nationkey")

@@ -103,16 +103,14 @@ def _(t):
     return t.series.groupBy("user_id").agg(r4(F.regr_slope("value", "i"), 5).alias("slope"))
 
 
-@query("AGG20_theil_sen", f"""with {SERIES}, s as (select * from series where i < 30) select a.user_id, round(median((b.value - a.value) / (b.i - a.i)), 5) as slope
-  from s a join s b on a.user_id = b.user_id and a.i < b.i group by 1""")
-def _(t):
-    return series.ordered_values(t.series.where("i < 30"), "user_id", "i", "value").select("user_id", r4(series.theil_sen(F.col("series")), 5).alias("slope"))
+_THEIL_SEN = f"""with {SERIES} select s.user_id, round(p.slope, 5) as slope from (select distinct user_id from series) s join
+  (select a.user_id, median((b.value - a.value) / (b.i - a.i)) as slope from series a join series b on a.user_id = b.user_id and a.i < b.i group by 1) p on p.user_id = s.user_id"""
 
 
-@query("AGG20_theil_sen_whole", f"""with {SERIES} select a.user_id, round(median((b.value - a.value) / (b.i - a.i)), 5) as slope
-  from series a join series b on a.user_id = b.user_id and a.i < b.i group by 1""")
+@query("AGG20_theil_sen", _THEIL_SEN)
+@query("AGG20_theil_sen_whole", _THEIL_SEN)
 def _(t):
-    return series.ordered_values(t.series, "user_id", "i", "value").where(F.size("series") > 1).select("user_id", r4(series.theil_sen(F.col("series")), 5).alias("slope"))
+    return series.theil_sen(t.series, "user_id", "i", "value").where("slope is not null").select("user_id", r4("slope", 5).alias("slope"))
 
 
 _W = {"click": 0.2, "view": 0.3, "purchase": 0.5}

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -115,6 +116,8 @@ def test_cache_is_checked(spark, tmp_path):
 
 def test_templates_and_reports(spark):
     assert files.fill_templates({"a": ["{x}/{y}"]}, {"x": "1"}) == {"a": ["1/{y}"]}
+    config = {"{x}": '"{x}": {{q}} \\ {n:03d}', "l": [1, None, True, 0.5, {"k": "{x}{x}{ x }é"}], "{": "}"}
+    assert files.fill_templates(config, {"x": 'a"b', "n": 7}) == {"{x}": '"a"b": {q} \\ 007', "l": [1, None, True, 0.5, {"k": 'a"ba"b{ x }é'}], "{": "}"}
     df = spark.createDataFrame([("m", None, 0.5)], "model string, a double, b double")
     assert "| m | — | 0.5000 |" in files.markdown_table(df, ["model", "a", "b"])
     assert "&lt;b&gt;" in files.html_cards(spark.createDataFrame([("t", "<event><b></event>")], "t string, b string"), "t", "b")
@@ -147,8 +150,8 @@ def test_curation_operators(spark):
     vals = lambda *v: F.array(*map(F.lit, v)).cast("array<double>")
     assert one(series.window_mean(vals(1, 2, 3, 4), 1, 3)) == 2.5 and one(series.window_mean(vals(1, 2), 2, 5)) is None
     assert one(series.middle_frames(F.lit(10), 2)) == [2, 7] and one(series.middle_frames(F.lit(2), 4)) == [0, 1, 1, 1]
-    assert one(series.sampled_theil_sen(vals(*[3.0 * i for i in range(50)]), 20)) == 3.0
-    assert one(series.sampled_theil_sen(vals(1.0))) is None
+    line = spark.createDataFrame([("a", i, 3.0 * i) for i in range(50)] + [("b", 0, 1.0)], "k string, i long, v double")
+    assert {r["k"]: r["slope"] for r in series.sampled_theil_sen(line, "k", "i", "v", 20).collect()} == {"a": 3.0, "b": None}
     assert [one(series.runaway(*map(F.lit, q))) for q in [(1.0, 2.0, 3.0, 8), (1.0, 4.0, 3.0, 8), (0.0, 1.0, 3.0, 8), (1.0, 2.0, 3.0, 3)]] == [True, False, False, False]
     assert [one(scalars.metric_number(F.lit(x))) for x in ("true", "false", "1.5", "x")] == [1.0, 0.0, 1.5, None]
     none = F.lit(None).cast("string")
@@ -162,6 +165,24 @@ def test_curation_operators(spark):
     assert rows.where_equal(left, {"k": 2}).count() == 1 and rows.where_equal(left, {"k": "avg"}).count() == 2
 
 
+@pytest.mark.parametrize(("n", "digits"), [(2, 3), (3, 0), (60, 0), (300, 1), (700, 6), (700, 0)])
+def test_slopes_are_selected_by_rank(n, digits):
+    rng = np.random.default_rng(n + digits)
+    y = np.round(rng.standard_normal(n).cumsum() * 3, digits)
+    every = np.sort([(y[j] - y[i]) / (j - i) for i in range(n) for j in range(i + 1, n)])
+    for k in {0, len(every) // 3, (len(every) - 1) // 2, len(every) // 2, len(every) - 1}:
+        assert series.kth_slope(y, k) == pytest.approx(every[k], abs=1e-9)
+    for t in (-1.37, 0.013, 2.5001):
+        assert series._slopes_up_to(y, t) == (every <= t).sum()
+    assert sorted(series._slopes_between(y, -0.713, 0.291)) == pytest.approx(sorted(x for x in every if -0.713 < x <= 0.291))
+
+
+def test_a_long_series_needs_no_pairs():
+    y = np.concatenate([np.zeros(30_000), np.arange(30_000) * 2.0])  # 1.8 billion pairs
+    assert 0 < series.kth_slope(y, 30_000 * 59_999 // 2) < 2
+    assert series.kth_slope(np.ones(20_000), 12_345) == pytest.approx(0, abs=1e-9)
+
+
 def test_theil_sen_of_whole_series(spark, tmp_path):
     from statistics import median
 
