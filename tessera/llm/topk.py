@@ -30,7 +30,6 @@ result; components and scores are 64-bit integers; other columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,10 +42,10 @@ from tessera.llm.common import maybe_broadcast, spool, tune
 PIVOTS = 256
 SAMPLE_ROWS = 4_096
 SHARD_ROWS = 4_096
-QUERY_ROWS = 1_024
+QUERY_ROWS = 2_048
 #: Entries of a page of vectors, and of one of routing vectors.
-PAGE = 128
-FANOUT = 16
+PAGE = 256
+FANOUT = 64
 #: Cells whose radii may go to the driver; there are more only if vectors have thousands of lengths.
 CELLS = 100_000
 #: Part of the norms by which a bound may be off, since distances are doubles.
@@ -129,14 +128,15 @@ def build_pages(ids: list, v: np.ndarray) -> Iterator[dict]:
             yield {"page": page, "bound": bound, "own": v[o].tolist(), "below": None, "ids": [ids[i] for i in rows], "vectors": v[rows].ravel().tolist(), "radius": None, "up": apart(rows, o).tolist()}
             continue
         seeds, far = [int(apart(rows, o).argmax())], None
-        while len(seeds) < FANOUT:
+        wide = min(FANOUT, -(-2 * len(rows) // PAGE))
+        while len(seeds) < wide:
             last = apart(rows, rows[seeds[-1]])
             far = last if far is None else np.minimum(far, last)
             seeds.append(int(far.argmax()))
         own = _nearest(x[rows], x[rows[seeds]])[0]
-        groups = [g for k in range(FANOUT) if len(g := rows[own == k])]
+        groups = [g for k in range(wide) if len(g := rows[own == k])]
         if len(groups) < 2:  # nearly equal vectors
-            groups = np.array_split(rows, FANOUT)
+            groups = np.array_split(rows, wide)
         routes = [middle(g) for g in groups]
         below = list(range(pages, pages + len(groups)))
         pages += len(groups)
@@ -162,69 +162,104 @@ class Tree:
     """The pages of one part, and the search in them. ``computed`` counts the distances and products worked out."""
 
     def __init__(self, pages: pa.Table, dims: int):
-        self.computed, self.pages, self.most = 0, {}, 0.0
-        for p in pages.to_pylist():
-            v = np.array(p["vectors"], np.int64).reshape(len(p["up"]), dims)
-            up, leaf = np.array(p["up"]), p["below"] is None
-            none = np.array([i is None for i in p["ids"]]) if leaf else None
-            ids = np.array([0 if i is None else i for i in p["ids"]], np.int64) if leaf else None
-            self.bound = p["bound"]
+        pages = pages.combine_chunks()
+        self.computed, self.most, self.pages = 0, 0.0, [None] * pages.num_rows
+        self.bound = pages["bound"][0].as_py() if pages.num_rows else 0.0
+        at = pages["page"].to_pylist()
+        take = lambda name, i: pages[name][i].values.to_numpy(zero_copy_only=False)
+        for i, page in enumerate(at):
+            up = take("up", i)
+            v = take("vectors", i).reshape(len(up), dims)
             self.most = max(self.most, float(np.abs(v.astype(float)).max(initial=0)))
-            self.pages[p["page"]] = (v, up, ids, none) if leaf else (_lengthened(v, p["bound"]), up, np.array(p["below"]), np.array(p["radius"]))
-            if p["page"] == 0:
-                self.root = _lengthened(np.array([p["own"]], np.int64), p["bound"])[0]
-
-    def search(self, q: np.ndarray, own: int | None, k: int, least: int | None = None) -> list[tuple[int, int | None]]:
-        """(score, id) of the ``k`` best rows but those of id ``own``, none of a score below ``least``; best first, ties by id."""
-        x = np.append(q.astype(float), 0.0)
-        norm = float(x @ x)
-        slack = SLACK * (norm**0.5 + self.bound**0.5) + 1e-9
-        reach = lambda s: np.inf if s is None else max(0.0, norm + self.bound - 2 * s) ** 0.5 + slack
-        within = reach(least)
-        score, ids, none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
-        exact = self.most * float(np.abs(q.astype(float)).max(initial=0)) * len(q) < 2**52
-        self.computed += 1
-        to_root = float(np.sqrt(((x - self.root) ** 2).sum()))
-        heap = [(0.0, 0, to_root)]
-        while heap and heap[0][0] <= within:
-            _, page, to_page = heapq.heappop(heap)
-            v, up, a, b = self.pages[page]
-            gap = np.abs(to_page - up)
-            if v.shape[1] > len(q):  # routing vectors; a: pages below, b: radii
-                live = np.flatnonzero(gap - b <= within)
-                self.computed += len(live)
-                away = np.sqrt(((v[live] - x) ** 2).sum(axis=1))
-                nearest = np.maximum(0, away - b[live])
-                for i in np.flatnonzero(nearest <= within):
-                    heapq.heappush(heap, (float(nearest[i]), int(a[live[i]]), float(away[i])))
-                continue
-            live = np.flatnonzero(gap <= within)
-            self.computed += len(live)
-            s = (v[live] @ x[:-1]).astype(np.int64) if exact else v[live] @ q
-            good = s >= least if least is not None else np.ones(len(s), bool)
-            if own is not None:
-                good &= (a[live] != own) | b[live]
-            if not good.any():
-                continue
-            score, ids, none = np.concatenate([score, s[good]]), np.concatenate([ids, a[live][good]]), np.concatenate([none, b[live][good]])
-            best = np.lexsort((ids, none, -score))[:k]
-            score, ids, none = score[best], ids[best], none[best]
-            if len(score) == k:
-                least = int(score[-1]) if least is None else max(least, int(score[-1]))
-                within = reach(least)
-        return [(int(s), None if n else int(i)) for s, i, n in zip(score, ids, none)]
+            if page == 0:
+                self.root = _lengthened(take("own", i).reshape(1, dims), self.bound)
+            if pages["below"][i].is_valid:
+                self.pages[page] = (_lengthened(v, self.bound), up, take("below", i), take("radius", i))
+            else:
+                ids = pages["ids"][i].values
+                self.pages[page] = (v, up, ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False))
+
+    def search(self, q: np.ndarray, own: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(query, score, id, id is null) of the ``k`` best rows of each query: best first, ties by id, none of its own id, none below its ``least`` (NaN: no bound).
+
+        Each query goes its own way, to its page of least possible distance next;
+        queries that are at the same page are worked out together.
+        """
+        n, x = len(q), q.astype(float)
+        norms = (x**2).sum(axis=1)
+        slack = SLACK * (np.sqrt(norms) + self.bound**0.5) + 1e-9
+        # no score is as low as this; a bound given by a score is one of a distance
+        floor = -np.sqrt(norms) * self.bound**0.5 - 1
+        known = np.where(np.isnan(least), floor, least)
+        reach = lambda rows: np.sqrt(np.maximum(0, norms[rows] + self.bound - 2 * known[rows])) + slack[rows]
+        within = reach(np.arange(n)) * (1 + SLACK)
+        exact = self.most * float(np.abs(x).max(initial=0)) * q.shape[1] < 2**52
+        score, ids, none = np.full((n, k), LOWEST), np.zeros((n, k), np.int64), np.ones((n, k), bool)
+        away = np.zeros((n, len(self.pages)))
+        away[:, 0] = np.sqrt(((x - self.root[:, :-1]) ** 2).sum(axis=1) + self.root[0, -1] ** 2)
+        nearest = np.full((n, len(self.pages)), np.inf)
+        nearest[:, 0] = 0
+        self.computed += n
+        while True:
+            page = nearest.argmin(axis=1)
+            live = np.flatnonzero(nearest[np.arange(n), page] <= within)
+            if not len(live):
+                break
+            nearest[live, page[live]] = np.inf
+            for p in np.unique(page[live]):
+                rows = live[page[live] == p]
+                v, up, a, b = self.pages[p]
+                gap = np.abs(away[rows, p][:, None] - up)
+                if v.shape[1] > q.shape[1]:  # routing vectors; a: the pages below, b: their radii
+                    near = gap - b <= within[rows][:, None]
+                    use = np.flatnonzero(near.any(axis=0))
+                    near, w = near[:, use], v[use]
+                    self.computed += int(near.sum())
+                    d = np.sqrt(np.maximum(0, norms[rows][:, None] + (w**2).sum(axis=1) - 2 * x[rows] @ w[:, :-1].T))
+                    away[rows[:, None], a[use]] = d
+                    nearest[rows[:, None], a[use]] = np.where(near, np.maximum(0, d - b[use] - slack[rows][:, None]), np.inf)
+                    continue
+                near = gap <= within[rows][:, None]
+                use = np.flatnonzero(near.any(axis=0))
+                near, w = near[:, use], v[use]
+                self.computed += int(near.sum())
+                s = (x[rows] @ w.astype(float).T).astype(np.int64) if exact else q[rows] @ w.T
+                good = near & (s >= known[rows][:, None]) & ((a[use] != own[rows][:, None]) | b[use])
+                at, column = np.nonzero(good)
+                if not len(at):
+                    continue
+                some = np.unique(at)
+                mine = rows[some]
+                # what these queries hold and what the page adds, in one list by query and rank
+                row = np.concatenate([np.repeat(mine, k), rows[at]])
+                every = np.concatenate([score[mine].ravel(), s[at, column]])
+                names = np.concatenate([ids[mine].ravel(), a[use][column]])
+                nulls = np.concatenate([none[mine].ravel(), b[use][column]])
+                order = np.lexsort((names, nulls, -every, row))
+                first = np.searchsorted(row[order], mine)
+                best = order[first[:, None] + np.arange(k)]
+                score[mine], ids[mine], none[mine] = every[best], names[best], nulls[best]
+                full = mine[score[mine, -1] > LOWEST]
+                known[full] = np.maximum(known[full], score[full, -1])
+                within[full] = reach(full)
+        query, rank = np.nonzero(score > LOWEST)
+        return query, score[query, rank], ids[query, rank], none[query, rank]
+
+
+#: Stands for no row; it is below all scores.
+LOWEST = -(2**63) + 1
 
 
 def _search(k: int):
     def run(key: tuple, queries: pa.Table, pages: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        found = [np.empty(0, np.int64)] * 2 + [pa.array([], pa.int64())] + [np.empty(0, np.int64)]
         if queries.num_rows and pages.num_rows:
             dims = key[0].as_py()
-            tree, q = Tree(pages, dims), _matrix(queries["v"], dims)
-            for i, (name, own, least) in enumerate(zip(queries["query"].to_pylist(), queries["query_id"].to_pylist(), queries["least"].to_pylist())):
-                out += [(name, own, vec_id, score) for score, vec_id in tree.search(q[i], own, k, least)]
-        columns = list(zip(*out)) or [()] * 4
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query", "query_id", "vec_id", "score"), columns)})
+            name, own = queries["query"].to_numpy(), queries["query_id"].to_numpy()
+            least = queries["least"].cast(pa.float64()).to_numpy()
+            query, score, ids, none = Tree(pages, dims).search(_matrix(queries["v"], dims), own, k, least)
+            found = [name[query], own[query], pa.array(ids, pa.int64(), mask=none), score]
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query", "query_id", "vec_id", "score"), found)})
 
     return run
 
