@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.plans import manifests, measures  # noqa: F401  they register their queries
-from tessera.plans import curation, drawn, numbers, probing, remembered  # noqa: F401  build on theirs
+from tessera.plans import curation, drawn, numbers, probing, remembered, streams  # noqa: F401  build on theirs
 from tessera.plans.registry import QUERIES, SQL
 
 
