@@ -118,26 +118,6 @@ def fill_templates(value, names: Mapping[str, str]):
     return json.loads(re.sub(r'("(?:[^"\\]|\\.)*")(\s*:)?', fill, json.dumps(value)))
 
 
-def cached_or_built(spark: SparkSession, path: str, schema: str, build) -> DataFrame:
-    """The table at ``path`` if it has the expected columns, else built, written and read; in memory if it can't be written."""
-    want = T._parse_datatype_string(schema)
-    try:
-        got = spark.read.parquet(path)
-        if {(f.name, f.dataType) for f in got.schema} >= {(f.name, f.dataType) for f in want}:
-            return got
-    except Exception as e:  # not there, or no table
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e) and "CANNOT_READ_FILE_FOOTER" not in str(e) and "FAILED_READ_FILE" not in str(e):
-            raise
-    fresh = build()
-    try:
-        fresh.write.mode("overwrite").parquet(path)
-    except Exception as e:
-        if "Permission denied" not in str(e) and "Read-only" not in str(e) and "Mkdirs failed" not in str(e):
-            raise
-        return fresh.cache()
-    return spark.read.parquet(path)
-
-
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
@@ -164,7 +144,7 @@ def write_csv_union(frames: list[DataFrame], path: str) -> None:
 
 
 def write_per_entity(df: DataFrame, key: str, path: str) -> None:
-    """A folder for each key."""
+    """A folder for each key; sources.entities writes a file for each."""
     df.write.mode("overwrite").partitionBy(key).json(path)
 
 
@@ -186,9 +166,13 @@ def append_results(records: DataFrame, path: str, key: str, work: Callable[[Data
 
 
 def write_scalars(points: DataFrame, path: str) -> None:
-    """(step, metric, value) as a table by metric; written again it replaces what was there, and a metric's points are in the order of steps."""
+    """(step, metric, value) as a table with a part for each metric, in the order of steps.
+
+    The metrics of ``points`` replace their own parts, in one commit; those of
+    others stay as they are, files and all.
+    """
     rows = points.select("step", "metric", F.col("value").cast("double").alias("value")).where("value is not null")
-    rows.repartition("metric").sortWithinPartitions("metric", "step").write.mode("overwrite").partitionBy("metric").parquet(path)
+    rows.repartition("metric").sortWithinPartitions("metric", "step").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("metric").parquet(path)
 
 
 def write_sheets(df: DataFrame, first: list[str], percent: list[str], path: str) -> None:

@@ -105,15 +105,6 @@ def test_names_and_logs(spark):
     assert got == {(1, "grad_norm"): 1.0, (1, "loss"): 0.5, (2, "grad_norm"): 0.7, (2, "loss"): 0.4}
 
 
-def test_cache_is_checked(spark, tmp_path):
-    path = str(tmp_path / "c")
-    spark.range(3).write.parquet(path)
-    build = lambda: spark.range(5).withColumnRenamed("id", "k")
-    assert files.cached_or_built(spark, path, "id long", build).count() == 3
-    assert files.cached_or_built(spark, path, "k long", build).count() == 5
-    assert files.cached_or_built(spark, str(tmp_path / "none"), "k long", build).count() == 5
-
-
 def test_templates_and_reports(spark):
     assert files.fill_templates({"a": ["{x}/{y}"]}, {"x": "1"}) == {"a": ["1/{y}"]}
     config = {"{x}": '"{x}": {{q}} \\ {n:03d}', "l": [1, None, True, 0.5, {"k": "{x}{x}{ x }é"}], "{": "}"}
