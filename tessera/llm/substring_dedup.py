@@ -8,8 +8,9 @@
    finds those. About one word in twenty is an anchor. Anchors of very many
    windows are looked up by broadcast, so none gathers its rows in one task.
 2. *Suffixes.* The words from a candidate window's start are a suffix cut at
-   50 words, written as five symbols, hashes of ten words each, which fit into
-   two longs. A word's hash is XXH3 of its bytes.
+   50 words, written as six symbols in two longs: short hashes of ten words
+   each, by which the tree branches, and last the 64-bit hash of all fifty. A
+   word's hash is XXH3 of its bytes.
 3. *Prefixes.* Suffixes are grouped by their first symbol. Where a group would
    exceed ``GROUP_CAP`` rows, the prefix grows by a symbol, up to the whole
    suffix; what is then still too large are suffixes that are equal throughout,
@@ -24,8 +25,10 @@
 5. Neighbouring leaves of a document under deep nodes join to its maximal
    repeats, spans that no repeated window exceeds; the document loses them.
 
-The five symbols have 128 bits; a false repeat needs equal hashes of all five
-ten-word sequences at once.
+The last symbol decides what repeats: a sum of all 64 bits of each word's hash
+times an odd number for its place. Windows that differ in one word never have
+equal sums, unless the two words have equal hashes; others need a chance of one
+in 2^64, wherever they differ and whatever parts they share.
 
 Cases: a null text has no words, as an empty one. A null doc_id is larger than
 any other: its row loses what others hold and takes nothing from them. Rows
@@ -50,9 +53,11 @@ from tessera.llm.common import cut, drop_table, lookup, maybe_broadcast, release
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WINDOW, BLOCK, GRAM = 50, 10, 13
-SYMBOLS = WINDOW // BLOCK
-#: Bits of each symbol, and how often the first long is shifted to leave the first one, two and three.
-BITS = (24, 20, 20, 32, 32)
+BLOCKS = WINDOW // BLOCK
+SYMBOLS = BLOCKS + 1
+#: Bits of the symbols of ten words, and how often the first long is shifted to leave the first ones.
+BITS = (24, 10, 10, 10, 10)
+SHIFTS = tuple(sum(BITS[d:]) for d in range(1, BLOCKS + 1))
 GROUP_CAP = 20_000
 #: Bytes of text hashed at a time.
 CHUNK = 1 << 21
@@ -128,23 +133,19 @@ class Words:
         return low[self.window].view(np.int64)
 
     def symbols(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The five symbols of the suffixes that start at words ``at``, in two longs."""
+        """The symbols of the suffixes that start at words ``at``, in two longs."""
         s = np.arange(max(0, len(self.hash) - BLOCK + 1))
         ten = _spans(self.hash, s, s + BLOCK, 0xD1B54A32D192ED03)
-        longs = []
-        for own in (range(3), range(3, 5)):
-            x = np.zeros(len(at), np.uint64)
-            for i in own:
-                x = (x << np.uint64(BITS[i])) | (ten[at + i * BLOCK] >> np.uint64(64 - BITS[i]))
-            longs.append(x.view(np.int64))
-        return longs[0], longs[1]
+        x = np.zeros(len(at), np.uint64)
+        for i, bits in enumerate(BITS):
+            x = (x << np.uint64(bits)) | (ten[at + i * BLOCK] >> np.uint64(64 - bits))
+        return x.view(np.int64), _spans(self.hash, at, at + WINDOW, 0xA24BAED4963EE407).view(np.int64)
 
 
 def symbols_of(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
-    """The five symbols again."""
+    """The symbols again."""
     a, b = a.view(np.uint64), b.view(np.uint64)
-    low = lambda x, n: x & np.uint64((1 << n) - 1)
-    return [a >> np.uint64(40), low(a >> np.uint64(20), 20), low(a, 20), b >> np.uint64(32), low(b, 32)]
+    return [(a >> np.uint64(shift)) & np.uint64((1 << bits) - 1) for shift, bits in zip(SHIFTS, BITS)] + [b]
 
 
 def _chunks(ids: pa.Array, texts: pa.Array, *more: pa.Array) -> Iterator[tuple]:
@@ -258,9 +259,7 @@ def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _prefix(d: int):
     """The first d symbols as columns."""
-    if d <= 3:
-        return [F.shiftrightunsigned("a", (40, 20, 0)[d - 1])]
-    return [F.col("a"), F.shiftrightunsigned("b", (32, 0)[d - 4])]
+    return [F.shiftrightunsigned("a", SHIFTS[d - 1])] if d <= BLOCKS else [F.col("a"), F.col("b")]
 
 
 def repeated_windows(docs: DataFrame, cap: int = GROUP_CAP) -> DataFrame:
@@ -300,7 +299,7 @@ def repeated_windows(docs: DataFrame, cap: int = GROUP_CAP) -> DataFrame:
             depth = F.when(F.col(f"_n{d}").isNotNull(), d + 1).otherwise(depth)
         else:
             salts = F.coalesce(F.ceil(F.col(f"_n{d}") / cap), F.lit(0)).cast("long")
-    salted = "_n5" in suffixes.columns
+    salted = f"_n{SYMBOLS}" in suffixes.columns
     prefix = F.lit(0).cast("long")
     for d in range(1, SYMBOLS + 1):
         prefix = F.when(depth == d, F.xxhash64(*_prefix(d))).otherwise(prefix)

@@ -259,6 +259,19 @@ def test_repeats_tell_like_hashed_words_apart(spark):
     assert {(r["doc_id"], r["n_words"], r["n_removed"]) for r in got} == {(1, 50, 0), (2, 50, 0)}
 
 
+def test_repeats_that_share_all_short_symbols_but_one_word_apart(spark):
+    """One word edited in many ways: some edits keep the ten-word symbol, and none may make a repeat."""
+    head, tail = VOCAB[:15], VOCAB[15:49]
+    text = lambda w: " ".join([*head, w, *tail])
+    edits = [f"v{i}" for i in range(6000)]
+    words = substring_dedup.Words([text(w).encode() for w in [VOCAB[60], *edits]])
+    a, b = words.symbols(words.window)
+    assert len(set(b)) == len(b) and (a[1:] == a[0]).any()  # the first symbols collide, the windows' hashes don't
+    rows = [(0, text(VOCAB[60]))] + [(i + 1, text(w)) for i, w in enumerate(edits)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.where("n_removed > 0").count() == 0 and got.count() == len(rows)
+
+
 def test_repeats_of_rows_without_id(spark):
     text = " ".join(VOCAB[:70])
     rows = [(4, text)] + [(None, f"n{i} " * (i % 7 + 1) + text if i % 2 else f"n{i} " * 60) for i in range(400)]
