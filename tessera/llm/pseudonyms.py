@@ -11,7 +11,7 @@ only. What fails validation, and all other text, stays as it is.
 
 Kinds: e-mail addresses (the local part, each letter and digit within its run
 of the alphabet), IPv4 and IPv6 addresses, international bank account numbers,
-payment cards (also where other digits stand next to them), telephone numbers
+payment cards (also among up to 200 other groups of digits), telephone numbers
 (North American forms, forms with a plus sign, French pairs; country codes
 stay, and valid area and exchange codes stay valid), social security numbers,
 dates from 1900 to 2099 as year-month-day, day/month/year or day.month.year.
@@ -42,19 +42,24 @@ SECRET = "spark.tessera.pseudonyms.secret"
 
 #: Pattern of each kind, in order of precedence.
 _HEX = "[0-9A-Fa-f]{1,4}"
+#: What stands before the last groups of a card, which are then no date or telephone number.
+_CARD = r"|\d{4}-|\d{4}  ?\d{4}  ?|\d{4}\.\d{4}\.|\d{6}[ .-]"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,8}\.\p{L}{2,24}(?!\p{L})",
     "ip6": rf"(?<![\p{{L}}\p{{N}}:.])(?={_HEX}:)(?:(?:{_HEX}:){{7}}{_HEX}|{_HEX}(?::{_HEX}){{0,5}}::{_HEX}(?::{_HEX}){{0,5}})(?![\p{{L}}\p{{N}}:])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "date": r"(?<![\d.])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/])",
+    "date": rf"(?<![\d.]{_CARD})(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{2}}/\d{{2}}/\d{{4}}|\d{{2}}\.\d{{2}}\.\d{{4}})(?![\d/])",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
-    "phone": r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\d)",
+    "phone": r"(?<![\p{L}\d]" + _CARD + r")(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\d)",
     "spaced": r"(?<![\p{L}\d]|\d )[2-9]\d{2} \d{3} \d{4}(?! ?\d)",
     "abroad": r"(?<![\p{L}\d+])(?:\+1[ .-]?\(?[2-9]\d{2}\)?[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6})(?!\d)",
     "pairs": r"(?<![\p{L}\d]|\d[ .-])0[1-9](?:[ .-]\d{2}){4}(?![ .-]?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\p{L}\d])\d(?:[ -]?\d){12,18}(?![\p{L}\d])",
 }
+#: What may hold payment cards: digit groups apart by a point, a dash or up to two blanks, at least 13 digits in all. Searched in what the other kinds leave.
+GROUPS = r"(?<!\d)(?=(?:\d(?: {1,2}|[.-])?){12}\d)\d++(?:(?: {1,2}|[.-])\d++){0,200}+"
+#: First digits and lengths that card issuers use.
+ISSUED = "^(?:4(?:.{12}|.{15}|.{18})|(?:5[1-5]|2[2-7]|35|36|38|39|30).{12,14}|3[47].{13}|6.{15,18})$"
 #: Between the characters of a string.
 CHARS = r"(?!^|\z)"
 LETTERED = ("email", "ip6", "iban")
@@ -135,23 +140,47 @@ def _respell(m: Column, chars: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    """The digits may begin or end with other groups: the card is the run of whole groups whose check digit holds,
-    of several one of 16 digits, else 15, else the longest, else the first."""
+    """Replace all cards in a run of digit groups: spans of whole groups, 13 to 19 digits, whose check digit holds.
+
+    In a run of more digits than a card has, a span of several groups must have
+    an issuer's first digits, four digits first and three to six in each group;
+    so rows of numbers stay.
+    Of those that overlap the one with an issuer's first digits and length
+    counts, then one of 16 digits, then 15, then the longest, then the first.
+    """
     d = _digits(m)
     ends = F.aggregate(F.regexp_extract_all(m, F.lit("([0-9]+)"), F.lit(1)), F.array(F.lit(0)), lambda a, g: F.concat(a, F.array(F.element_at(a, -1) + F.length(g))))
+    apart = lambda ends: F.zip_with(F.slice(ends, F.lit(2), F.size(ends) - 1), F.slice(ends, F.lit(1), F.size(ends) - 1), lambda b, a: b - a)
 
-    def inside(ends: Column) -> Column:
-        span = lambda s, e: F.struct((e - s == 16).alias("usual"), (e - s == 15).alias("short"), (e - s).alias("n"), (-s).alias("s"))
-        spans = F.flatten(F.transform(ends, lambda s: F.transform(ends, lambda e: span(s, e))))
-        valid = lambda x: x["n"].between(13, 19) & (luhn_sum(F.substring(d, 1 - x["s"], x["n"])) % 10 == 0)
-        return F.array_max(F.filter(spans, valid))
+    grouped = lambda own, sizes: own.rlike(ISSUED) & (sizes[0] == 4) & (F.array_min(sizes) >= 3) & (F.array_max(sizes) <= 6)
 
-    def fresh(x: Column) -> Column:
-        body = permute_digits(F.substring(d, 1 - x["s"], x["n"] - 1), key, "card")
+    def best(s: Column, i: Column, ends: Column) -> Column:
+        """The best card that starts at a group."""
+        def span(e: Column) -> Column:
+            own = F.substring(d, s + 1, e - s)
+            return F.struct(F.struct(own.rlike(ISSUED).alias("issued"), (e - s == 16).alias("usual"), (e - s == 15).alias("short"), (e - s).alias("n")).alias("rank"), (-s).alias("first"), s.alias("s"))
+
+        near = F.filter(F.slice(ends, i + 2, 19), lambda e, k: (e - s).between(13, 19) & ((k == 0) | (F.length(d) <= 19) | grouped(F.substring(d, s + 1, e - s), apart(F.slice(ends, i + 1, k + 2)))) & (luhn_sum(F.substring(d, s + 1, e - s)) % 10 == 0))
+        return F.array_max(F.transform(near, span))
+
+    def chosen(found: Column) -> Column:
+        """The best first, then what does not overlap those taken; in their order in the text."""
+        apart_ = lambda x, y: (x["s"] >= y["s"] + y["rank"]["n"]) | (y["s"] >= x["s"] + x["rank"]["n"])
+        take = lambda held, x: F.when(F.forall(held, lambda y: apart_(x, y)), F.concat(held, F.array(x))).otherwise(held)
+        held = F.aggregate(F.sort_array(found, asc=False), F.filter(found, lambda x: F.lit(False)), take)
+        return F.array_sort(F.transform(held, lambda x: F.struct(x["s"].alias("s"), x["rank"].alias("rank"))))
+
+    def fresh(cards: Column) -> Column:
         check = lambda b: F.concat(b, F.pmod(10 - luhn_sum(F.concat(b, F.lit("0"))) % 10, F.lit(10)).cast("string"))
-        return F.concat(F.substring(d, F.lit(1), -x["s"]), _let(body, check), F.substring(d, 1 - x["s"] + x["n"], F.length(d)))
+        own = lambda x: _let(permute_digits(F.substring(d, x["s"] + 1, x["rank"]["n"] - 1), key, "card"), check)
+        start = F.struct(F.lit("").alias("said"), F.lit(0).alias("at"))
+        step = lambda z, x: F.struct(F.concat(z["said"], F.substring(d, z["at"] + 1, x["s"] - z["at"]), own(x)).alias("said"), (x["s"] + x["rank"]["n"]).alias("at"))
+        return F.aggregate(cards, start, step, lambda z: F.concat(z["said"], F.substring(d, z["at"] + 1, F.length(d))))
 
-    return _let(_let(ends, inside), lambda x: F.when(x.isNull(), m).otherwise(_let(fresh(x), lambda f: _refill(m, f))))
+    def of(ends: Column) -> Column:
+        return F.filter(F.transform(F.slice(ends, F.lit(1), F.size(ends) - 1), lambda s, i: best(s, i, ends)), lambda x: x.isNotNull())
+
+    return _let(_let(_let(ends, of), chosen), lambda cards: F.when(F.size(cards) == 0, m).otherwise(_let(fresh(cards), lambda f: _refill(m, f))))
 
 
 def _ten(d: Column, key: str) -> Column:
@@ -319,9 +348,17 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None) ->
     docs = docs.drop("n_pii")
     old, new = unused(docs, "pieces", "fresh")
     # gaps and found values in turn; texts that hold the mark themselves are searched twice
-    marked = F.split(F.regexp_replace(t, f"({ANY})", f"{MARK}$1{MARK}"), MARK, -1)
-    twice = F.flatten(F.zip_with(F.split(t, ANY, -1), F.regexp_extract_all(t, F.lit(f"({ANY})"), F.lit(1)), lambda g, m: F.array(g, F.coalesce(m, F.lit("")))))
-    pieces = F.when(t.rlike("[0-9@]|::"), F.when(t.contains(MARK), twice).otherwise(marked))
+    def parted(x: Column, pattern: str) -> Column:
+        marked = F.split(F.regexp_replace(x, f"({pattern})", f"{MARK}$1{MARK}"), MARK, -1)
+        twice = F.flatten(F.zip_with(F.split(x, pattern, -1), F.regexp_extract_all(x, F.lit(f"({pattern})"), F.lit(1)), lambda g, m: F.array(g, F.coalesce(m, F.lit("")))))
+        return F.when(x.contains(MARK), F.slice(twice, F.lit(1), F.size(twice) - 1)).otherwise(marked)
+
+    def with_cards(pieces: Column) -> Column:
+        # a gap becomes gaps and digit runs in turn, so that values and runs stay at odd places
+        runs = lambda g: F.when(g.rlike(GROUPS), parted(g, GROUPS)).otherwise(F.array(g))
+        return F.flatten(F.transform(pieces, lambda g, i: F.when(i % 2 == 0, runs(g)).otherwise(F.array(g))))
+
+    pieces = F.when(t.rlike("[0-9@]|::"), _let(parted(t, ANY), with_cards))
     rows = docs.withColumn(old, pieces)
     rows = rows.withColumn(new, F.transform(old, lambda m, i: F.when((i % 2 == 1) & (m != ""), pseudonym(m, key)).otherwise(m)))
     changed = F.coalesce(F.size(F.filter(F.zip_with(old, new, lambda a, b: a != b), lambda x: x)).cast("long"), F.lit(0).cast("long"))

@@ -420,6 +420,39 @@ def test_pseudonyms_leave_no_real_value(spark):
     assert int(area[1]) >= 200 and int(area[2]) >= 200
 
 
+def test_cards_are_found_in_any_run_of_digits(spark):
+    """Cards among other groups, with every separator, against a search of all spans."""
+    rng = random.Random(3)
+    check = lambda body: body + str(next(c for c in range(10) if luhn(body + str(c))))
+    cut = {16: (4, 4, 4, 4), 15: (4, 6, 5), 14: (4, 6, 4), 19: (4, 4, 4, 4, 3)}
+    texts, cards = [], []
+    for k in range(120):
+        sep = rng.choice((" ", "-", ".", "  ", ""))
+        n, first = rng.choice(((16, "4"), (16, "51"), (15, "37"), (14, "36"), (19, "4"), (16, "2221")))
+        d = check(first + "".join(rng.choice("0123456789") for _ in range(n - 1 - len(first))))
+        ends = [sum(cut[n][:i]) for i in range(len(cut[n]) + 1)]
+        card = sep.join(d[a:b] for a, b in zip(ends, ends[1:]))
+        side = lambda: [str(rng.choice((7, 12, 99, 2024, 20261128, 123))) for _ in range(rng.randint(0, 3))]
+        texts.append(rng.choice(("", "x", "No. ")) + rng.choice((" ", "-")).join([*side(), card, *side()]) + rng.choice(("", " end", ".")))
+        cards.append(card)
+    texts += [" ".join(cards[:40]), "4111.1111.1111.1111", "2024 4111 1111 1111 1111", "order 20261128 4111-1111-1111-1111"]
+    clean = [" ".join(map(str, range(100, 160))), "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20", "2001 2002 2003 2004 2005 2006", "9" * 30_000, "1.5 2.25 3.125 4.0625 5.03125 6.015625"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + clean)], "doc_id long, text string")
+    got = [r["text"] for r in pseudonyms.pseudonymise(df, key="k").orderBy("doc_id").collect()]
+
+    def spans(text):  # all spans of whole groups that are valid cards
+        runs = [list(re.finditer(r"\d+", m[0])) for m in re.finditer(r"\d+(?:(?: {1,2}|[.-])\d+)*", text)]
+        return {"".join(g[0] for g in run[i:j]) for run in runs for i in range(len(run)) for j in range(i + 1, len(run) + 1) if 13 <= sum(len(g[0]) for g in run[i:j]) <= 19 and luhn("".join(g[0] for g in run[i:j]))}
+
+    for text, card, new in zip(texts, cards, got):
+        assert re.sub(r"\d", "0", new) == re.sub(r"\d", "0", text)
+        d = re.sub(r"\D", "", card)
+        assert d in spans(text) and d not in re.sub(r"[ .-]", "", new), (text, new)
+    assert sum(re.sub(r"[ .-]", "", c) in re.sub(r"[ .-]", "", got[120]) for c in cards[:40]) == 0
+    assert all("1111" not in x for x in got[121:124])
+    assert got[124:] == clean
+
+
 def test_pseudonyms_take_the_key_of_the_session(spark):
     df = spark.createDataFrame([("a.b@example.com",)], "text string")
     spark.conf.set(pseudonyms.SECRET, "other")
