@@ -9,8 +9,9 @@ refreshed, until no pair has a rank. Distinct words are encoded once per task;
 the memo has two generations of bounded size. In words of over ``LONG`` parts
 the same merges are taken from a heap of ranked pairs over linked parts, since
 scans would cost the square of the length. Texts beyond ASCII are composed and
-lower-cased by the library's own normalisers, whose Unicode tables are not
-those of Python; words are cut by the pattern with those of ``regex``.
+lower-cased by the library's own normalisers, and words are cut by the pattern
+with the library's own letters, numbers and blanks, asked of it once for all
+code points: its Unicode tables are not those of Python.
 
 Cases: a null text is encoded like an empty one (no ids, empty decoded text).
 Special tokens of the vocabulary that stand in a text are one id each. A long
@@ -24,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from struct import pack
@@ -33,7 +35,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import normalizers
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from tessera.llm.common import tune
 
@@ -55,6 +57,34 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@lru_cache(maxsize=8)
+def members(kind: str) -> str:
+    """The code points that the library takes for ``kind``, a class like ``\\p{L}``, as ranges within brackets."""
+    every = [*range(0xD800), *range(0xE000, 0x110000)]
+    matched = pre_tokenizers.Split(Regex(f"(?:{kind})+"), "removed", invert=True).pre_tokenize_str("".join(map(chr, every)))
+    return "".join(f"\\U{every[a]:08x}-\\U{every[b - 1]:08x}" for _, (a, b) in matched)
+
+
+def spelt_out(pattern: str) -> str:
+    """The pattern with the library's own members in the place of its classes."""
+    out, inside = [], False
+    for token in re.findall(r"\\[pP]\{\w+\}|\\.|.", pattern, re.S):
+        if re.fullmatch(r"\\p\{\w+\}|\\s", token):
+            token = members(token) if inside else f"[{members(token)}]"
+        elif token in "[]":
+            inside = token == "["
+        out.append(token)
+    return "".join(out)
+
+
+@lru_cache(maxsize=2)
+def word_pattern(path: str) -> str:
+    """The vocabulary's pattern of words, spelt out."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return spelt_out(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
+
+
 def byte_alphabet() -> list[str]:
     """A printable character for each byte: itself where it prints, else the next from U+0100."""
     prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -83,7 +113,7 @@ class Memo:
 class WordBPE:
     """Encoder and decoder of one vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str | None = None):
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
@@ -95,7 +125,7 @@ class WordBPE:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) or "(?!)")
-        self.words = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
+        self.words = re.compile(pattern or word_pattern(path))
         self.said = {i: b" " + t.encode() for i, t in self.tokens.items()}
         self.by_word, self.by_run = Memo(), Memo()
 
@@ -193,8 +223,8 @@ class WordBPE:
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> WordBPE:
-    return WordBPE(path)
+def vocabulary(path: str, pattern: str) -> WordBPE:
+    return WordBPE(path, pattern)
 
 
 def encode_decode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, carry: str | None = None) -> DataFrame:
@@ -210,10 +240,11 @@ def encode_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def _run(docs: DataFrame, doc_id: str, text: str, path: str | None, digests: bool, carry: str | None = None) -> DataFrame:
     tune(docs.sparkSession)
     path = path or default_vocabulary()
+    pattern = word_pattern(path)  # some ten thousand characters, worked out once
     more = [carry] if carry else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = vocabulary(path)
+        bpe = vocabulary(path, pattern)
         for b in batches:
             got = [bpe.encode_packed(t or "") for t in b.column(1).to_pylist()]
             n = pa.array([len(i) // 4 for i, _ in got], pa.int64())

@@ -662,10 +662,14 @@ def test_bpe_takes_long_words_and_all_characters():
             assert own.encode(w) == lib.encode(w, add_special_tokens=False).ids
             parts = [own.inner[b] for b in w[:900].encode()]
             assert own.merge_long(list(parts)) == own.merge(list(parts))
-    known = [c for c in map(chr, range(0x30000)) if unicodedata.category(c) not in ("Cn", "Co", "Cs")]
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(every), 512):  # every code point there is, between a letter and a number
+        t = " ".join(f"a{c}1" for c in every[at : at + 512])
+        assert own.encode(t) == lib.encode(t, add_special_tokens=False).ids, at
+    known = [c for c in every[:0x30000] if unicodedata.category(c) not in ("Cn", "Co")]
     marks = [c for c in known if unicodedata.combining(c)]
-    texts = [f"a{c}b1{c} {c}'s{c}" for c in known[::7]] + ["".join(rng.choice(marks if rng.random() < 0.5 else known) for _ in range(rng.randint(2, 8))) for _ in range(20000)]
-    for t in [*texts, "\u0592\u1ac0", "\u05b2\U00011d44"]:
+    texts = [f"a{c}b1{c} {c}'s{c}" for c in known[::29]] + ["".join(rng.choice(marks if rng.random() < 0.5 else known) for _ in range(rng.randint(2, 8))) for _ in range(10000)]
+    for t in [*texts, "\u0592\u1ac0", "\u05b2\U00011d44", "\u0558\u058b a\u0c5cb \u208f"]:
         assert own.encode(t) == lib.encode(t, add_special_tokens=False).ids, ascii(t)
 
 
