@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.folders import shared_folder
+
 
 def first_failing_reason(checks: list[tuple[str, Column]]) -> Column:
     """Name of the first check that holds; null if none does (the row stays). A null check does not hold."""
@@ -108,22 +110,24 @@ def positional(left: DataFrame, right: DataFrame, left_order: str, right_order:
     return numbered(left, left_order, "_rn").join(numbered(right, right_order, "_rn"), "_rn").drop("_rn")
 
 
-def numbered(df: DataFrame, order: str, name: str, parts: int = 64) -> DataFrame:
+def numbered(df: DataFrame, order: str | list[str | Column], name: str, rows_each: int = 1_000_000) -> DataFrame:
     """Row number from 1 by ``order`` without one task seeing all rows.
 
-    Quantiles deal rows to ranges; counts of ranges give each its first number.
+    Ranges of the order are sorted and written side by side, about ``rows_each``
+    rows in each however many there are; the counts of ranges give each its
+    first number. Rows of equal order share a range, so it should tell rows apart.
     """
-    probs = [i / parts for i in range(1, parts)]
-    bounds = sorted(set(df.agg(F.percentile_approx(order, probs, 10000)).first()[0] or []))
-    bucket = F.lit(0)
-    for b in bounds:
-        bucket = bucket + F.when(F.col(order) >= b, 1).otherwise(0)
-    rows = df.withColumn("_b", bucket)
+    spark, keys = df.sparkSession, [order] if isinstance(order, (str, Column)) else list(order)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows_each))
+    dealt = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    path = shared_folder(spark)
+    dealt.write.parquet(path)  # the numbers of partitions hold for this one run
+    rows = spark.read.schema(dealt.schema).parquet(path).withColumn("_b", F.shiftright("_at", 33))
     sizes = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     sizes = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    rows = rows.withColumn(name, F.row_number().over(Window.partitionBy("_b").orderBy(order)))
-    return rows.join(F.broadcast(sizes), "_b").withColumn(name, (F.col(name) + F.col("_first")).cast("long")).drop("_b", "_first")
+    number = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_first") + 1
+    return rows.join(F.broadcast(sizes), "_b").withColumn(name, number.cast("long")).select(*df.columns, name)
 
 
 def ok_first(df: DataFrame, key: str, ok: Column, order: list[str]) -> DataFrame:

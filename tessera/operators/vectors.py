@@ -28,9 +28,10 @@ def l2(a: Column, b: Column) -> Column:
     return F.sqrt(total(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2))))
 
 
-def nearest_centroid(df: DataFrame, vector: str, centroids: list[list[float]]) -> DataFrame:
-    """Add ``centroid`` (the first of ties) and ``distance``; centroids are few and travel as literals."""
-    c = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in centroids])
+def nearest_centroid(df: DataFrame, vector: str, centroids: list[list[float]] | list[float]) -> DataFrame:
+    """Add ``centroid`` (the first of ties) and ``distance``; centroids are few and travel as literals, a number for one of equal components."""
+    same = lambda value: F.transform(F.col(vector), lambda _: F.lit(float(value)))
+    c = F.array(*[F.array(*[F.lit(float(x)) for x in row]) if isinstance(row, list) else same(row) for row in centroids])
     d = F.transform(c, lambda m: l2(F.col(vector), m))
     rows = df.withColumn("_d", d).withColumn("distance", F.array_min("_d"))
     return rows.withColumn("centroid", F.array_position("_d", F.col("distance")).cast("long") - 1).drop("_d")
@@ -67,7 +68,7 @@ def kmeans(df: DataFrame, vector: str, k: int, rounds: int = 20, changed: float
     return centers
 
 
-def held_out_metrics(df: DataFrame, vector: str, centroids: list[list[float]]) -> DataFrame:
+def held_out_metrics(df: DataFrame, vector: str, centroids: list[list[float]] | list[float]) -> DataFrame:
     """(mean_l2, variance_retained, used): mean distance to the nearest centroid, 1 minus residual over total variance, centroids in use."""
     near = nearest_centroid(df.select(vector), vector, centroids)
     spread = df.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg((F.var_pop("x") * F.count("x")).alias("v")).agg(F.sum("v").alias("total"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars
-from tessera.operators import ranking, series, vectors
+from tessera.operators import ranking, rows, series, vectors
 from tessera.plans.registry import CLIPS, SERIES, query, r4
 
 
@@ -294,10 +294,9 @@ def _(t):
     return t.series.select("user_id", "i", F.lag("value", 2).over(Window.partitionBy("user_id").orderBy("i")).alias("written"))
 
 
-@query("RNK1_nulls_last", "select doc_id, row_number() over (order by lang nulls last, doc_id) as r from documents qualify r <= 20")
+@query("RNK1_nulls_last", "select doc_id, row_number() over (order by lang nulls last, doc_id) as r from documents")
 def _(t):
-    top = t.documents.orderBy(F.asc_nulls_last("lang"), "doc_id").limit(20)
-    return top.select("doc_id", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.asc_nulls_last("lang"), "doc_id")).cast("long").alias("r"))
+    return rows.numbered(t.documents.select("doc_id", "lang"), [F.asc_nulls_last("lang"), "doc_id"], "r").select("doc_id", "r")
 
 
 @query("RNK2_numeric_suffix", "select p_partkey as k, coalesce(try_cast(regexp_extract(p_brand, '([0-9]+)$', 1) as int), 0) as n from part")

@@ -62,8 +62,7 @@ _WIDE = "with v as (select vec_id, label, list_transform(embedding, lambda x: x:
   select round(avg(least(a, b)), 5) as mean_l2, round(1 - sum(least(a, b) * least(a, b)) / any_value(total), 5) as variance_retained, count(distinct case when a <= b then 0 else 1 end)::bigint as used from d, s""")
 def _(t):
     held = t.embeddings.where("vec_id % 10 = 0").select(F.col("embedding").cast("array<double>").alias("v"))  # the held-out tenth is the operator's input
-    size = len(t.embeddings.select("embedding").first()[0])
-    got = vectors.held_out_metrics(held, "v", [[LOW] * size, [HIGH] * size])
+    got = vectors.held_out_metrics(held, "v", [LOW, HIGH])
     return got.select(r4("mean_l2", 5).alias("mean_l2"), r4("variance_retained", 5).alias("variance_retained"), F.col("used").cast("long").alias("used"))
 
 

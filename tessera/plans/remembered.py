@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import memory, vectors
+from tessera.operators import memory, projection, vectors
 from tessera.plans.drawn import _draw, _unit
 from tessera.plans.registry import SERIES, query, r4
 
@@ -137,3 +137,40 @@ def _(t):
     table = t.spark.createDataFrame(DIRECTIONS, "event_type string, higher boolean")
     rows = t.events.join(F.broadcast(table), "event_type").groupBy("user_id", "event_type", "higher")  # a row a metric
     return rows.agg(F.max("value").alias("hi"), F.min("value").alias("lo")).select("user_id", "event_type", "higher", r4(F.when(F.col("higher"), F.col("hi")).otherwise(F.col("lo"))).alias("best"))
+
+
+# --- projections of windows: eight frames of eight channels, the first three of some windows padding
+
+_FRAMES = """w as (select vec_id, label, f, c, case when vec_id % 7 < 2 and f < 3 then 0::double else embedding[f * 8 + c + 1]::double end as x
+    from embeddings, range(0, 8) a(f), range(0, 8) b(c)),
+  r as (select vec_id, label, f, bool_or(x <> 0) as has from w group by 1, 2, 3)"""
+#: A codebook of four rows.
+_BOOK = [[0.2] * 8, [-0.2] * 8, [0.2, -0.2] * 4, [-0.2, 0.2] * 4]
+
+
+def _frames(t):
+    e = F.col("embedding").cast("array<double>")
+    whole = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda f: F.when((F.col("vec_id") % 7 < 2) & (f < 3), F.array_repeat(F.lit(0.0), 8)).otherwise(F.slice(e, f * 8 + 1, 8)))
+    return t.embeddings.select("vec_id", "label", whole.alias("frames"))
+
+
+@query("VEC7_codebook_padding", f"""with {_FRAMES}, m as (select * from (values {", ".join(f"({j}, {i}, {x}::double)" for j, row in enumerate(_BOOK) for i, x in enumerate(row))}) v(j, c, m)),
+  d as (select vec_id, f, j, sum((x - m) * (x - m)) as far from w join m using (c) group by 1, 2, 3), b as (select vec_id, f, min(struct_pack(far := round(far, 9), j := j)).j as j from d group by 1, 2)
+  select w.vec_id, round(sum(case when has then x + 0.75 * (m - x) else x end), 4) as total, count(*) filter (where not has)::bigint as padding
+  from w join r on r.vec_id = w.vec_id and r.f = w.f join b on b.vec_id = w.vec_id and b.f = w.f join m on m.j = b.j and m.c = w.c group by 1""")
+def _(t):
+    new = projection.blended(F.col("frames"), lambda f: memory.nearest_value(f, _BOOK), alpha=0.75)
+    padding = F.size(F.filter("frames", lambda f: ~projection.real(f))) * 8
+    return _frames(t).select("vec_id", r4(vectors.total(F.flatten(new))).alias("total"), padding.cast("long").alias("padding"))
+
+
+@query("VEC8_frozen_reference", f"""with {_FRAMES}, st as (select w.label, w.vec_id, w.c, avg(x) as m, stddev_samp(x) as s from w join r on r.vec_id = w.vec_id and r.f = w.f where has group by 1, 2, 3),
+  u as (select label, vec_id, bool_and(has) as whole, bool_or(has) as filled from r group by 1, 2), ref as (select label, min(vec_id) as v from u where whole group by 1),
+  y as (select w.vec_id, w.vec_id > ref.v and filled as applied,
+      case when w.vec_id > ref.v and has then x * (rs.s / greatest(st.s, 1e-4)) + (rs.m - st.m * (rs.s / greatest(st.s, 1e-4))) else x end as y
+    from w join r on r.vec_id = w.vec_id and r.f = w.f join u on u.vec_id = w.vec_id join ref on ref.label = w.label
+    join st on st.vec_id = w.vec_id and st.c = w.c join st rs on rs.vec_id = ref.v and rs.c = w.c)
+  select vec_id, round(sum(y), 4) as total, bool_or(applied) as applied from y group by 1""")
+def _(t):
+    rows = projection.renormed(_frames(t), "label", "vec_id", "frames")
+    return rows.select("vec_id", r4(vectors.total(F.flatten("frames"))).alias("total"), "applied")
