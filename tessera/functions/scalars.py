@@ -6,22 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def unescape(c: Column) -> Column:
-    """The five named references and decimal ones below 128, as HTML writes them."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
-
-
 def one_line(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-def clean_prompt(c: Column) -> Column:
-    """Unescape twice, collapse white space, trim. Mojibake is not repaired."""
-    return one_line(unescape(unescape(c)))
-
-
 def tagged(tag: Column, caption: Column) -> Column:
     return F.concat_ws("\n", tag, caption)
 
@@ -130,10 +118,11 @@ def valid_run_id(c: Column) -> Column:
     return c.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$")
 
 
-def ema_decay(step: Column, after: int, most: float, least: float = 0.0) -> Column:
-    """0 until ``after``, then (1 + s) / (10 + s) within [least, most]."""
+def ema_decay(step: Column, after: int, most: float, least: float = 0.0, inv_gamma: float | None = None, power: float = 2 / 3) -> Column:
+    """0 until ``after``, then (1 + s) / (10 + s) of the steps since, or the warm-up 1 - (1 + s / inv_gamma)^-power if that is given; at most ``most``, then at least ``least``."""
     s = F.greatest(F.lit(0), step - after - 1)
-    return F.when(s <= 0, F.lit(0.0)).otherwise(F.least(F.lit(most), F.greatest(F.lit(least), (1 + s) / (10 + s))))
+    rising = (1 + s) / (10 + s) if inv_gamma is None else 1 - F.pow(1 + s / F.lit(float(inv_gamma)), F.lit(-power))
+    return F.when(s <= 0, F.lit(0.0)).otherwise(F.greatest(F.lit(least), F.least(F.lit(most), rising)))
 
 
 def metric_number(c: Column) -> Column:

@@ -18,5 +18,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Owner event of each chunk: an interval join within each clip's row."""
+    """Owner event of each chunk: a range join of chunks and events."""
     return QUERIES["JN13_interval_owner"](spark, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions import scalars
+from tessera.functions import prompts, scalars
 from tessera.operators import ranking, rows, series, vectors
 from tessera.plans.registry import CLIPS, SERIES, query, r4
 
@@ -362,9 +362,21 @@ def _(t):
     return s.select("user_id", F.array_join(ranking.nearest_each(F.col("series"), F.array(F.lit(0.0), F.lit(50.0))).cast("array<string>"), ",").alias("at"))
 
 
-@query("SC1_clean_prompt", r"""select page_id, trim(regexp_replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), chr(9), ' '), '\s+', ' ', 'g')) = '' as empty from pages""")
+@query("SC1_clean_prompt", r"""with a as (select page_id, regexp_replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g') as x from pages),
+  b as (select page_id, regexp_replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') as x from a)
+  select page_id, length(trim(regexp_replace(x, '\s+', ' ', 'g')))::bigint as chars, md5(trim(regexp_replace(x, '\s+', ' ', 'g'))) as digest from b""")
 def _(t):
-    return t.pages.select("page_id", (scalars.clean_prompt(F.col("html")) == "").alias("empty"))
+    clean = t.pages.select("page_id", prompts.clean_prompt(F.col("html")).alias("x"))
+    return clean.select("page_id", F.length("x").cast("long").alias("chars"), F.md5("x").alias("digest"))
+
+
+@query("STR9_ema_weights", """with e as (select user_id, event_id, greatest(0, event_id - 11) as s from events)
+  select event_id, round(case when s <= 0 then 0 else greatest(0.1, least(0.9999, (1 + s) / (10 + s))) end, 9) as plain,
+    round(case when s <= 0 then 0 else greatest(0.1, least(0.9999, 1 - pow(1 + s / 2.0, -0.75))) end, 9) as warm from e""")
+def _(t):
+    step = F.col("event_id")
+    plain, warm = scalars.ema_decay(step, 10, 0.9999, 0.1), scalars.ema_decay(step, 10, 0.9999, 0.1, inv_gamma=2.0, power=0.75)
+    return t.events.select("event_id", r4(plain, 9).alias("plain"), r4(warm, 9).alias("warm"))
 
 
 @query("SC2_one_line", r"select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as line from documents")

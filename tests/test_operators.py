@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from tessera.functions import scalars
+from tessera.functions import prompts, scalars
 from tessera.operators import ranking, rows, series
 from tessera.sources import files
 from tessera.streaming import state
@@ -70,7 +70,7 @@ def test_numbered_matches_plain(spark):
 
 
 def test_text_functions(spark):
-    r = one(spark, scalars.clean_prompt(F.lit(" a &amp;lt; b \n c ")).alias("a"), scalars.tag_content(F.lit("x <event>y\nz</event>"), "event").alias("b"), scalars.json_object(F.lit('so {"a": {"b": 1}} end')).alias("c"), scalars.rate(F.lit("30/0")).alias("d"), F.to_json(scalars.smart_size(F.lit(1000), F.lit(500), 28, 3136, 200704)).alias("e"))
+    r = one(spark, prompts.clean_prompt(F.lit(" a &amp;lt; b \n c ")).alias("a"), scalars.tag_content(F.lit("x <event>y\nz</event>"), "event").alias("b"), scalars.json_object(F.lit('so {"a": {"b": 1}} end')).alias("c"), scalars.rate(F.lit("30/0")).alias("d"), F.to_json(scalars.smart_size(F.lit(1000), F.lit(500), 28, 3136, 200704)).alias("e"))
     assert (r["a"], r["b"], r["c"], r["d"]) == ("a < b c", "y\nz", '{"a": {"b": 1}}', None)
     size = json.loads(r["e"])
     assert size["h"] % 28 == 0 and size["w"] % 28 == 0 and size["h"] * size["w"] <= 200704
