@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.rows import seeded
+from tessera.operators.rows import numbered_in, seeded
 
 
 def threshold_rating(score: Column, thresholds: list[float], higher: bool = True, best: int = 10, target: float | None = None) -> Column:
@@ -78,11 +78,11 @@ def resample_to_ratios(df: DataFrame, group: str, key: str, ratios: dict[str, fl
     """
     every = sum(ratios.values())
     targets = F.create_map(*[x for g, r in ratios.items() for x in (F.lit(g), F.lit(max(1, int(total * r / every))))])
-    w = Window.partitionBy(group)
-    rows = df.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_t", F.coalesce(targets[F.col(group)], F.col("_n")))
+    sizes = df.groupBy(F.col(group).alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = df.join(sizes, F.col(group).eqNullSafe(F.col("_of"))).drop("_of").withColumn("_t", F.coalesce(targets[F.col(group)], F.col("_n")))
     rows = rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_t") / F.col("_n")).cast("int") - 1)))
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("round").cast("string"), F.col(key).cast("string")))
-    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(group, "round").orderBy(order)))
+    rows = numbered_in(rows, [group, "round"], order, [key], "_r")
     return rows.where(F.col("round") * F.col("_n") + F.col("_r") <= F.col("_t")).drop("_n", "_t", "_r")
 
 
@@ -100,14 +100,13 @@ def sample_per_group(df: DataFrame, group: str, key: str, k: int, seed: int = 0)
 def equal_sizes(df: DataFrame, group: str, key: str, seed: int = 0) -> DataFrame:
     """Every group cut to the size of the smallest, in seeded order."""
     least = df.groupBy(group).count().agg(F.min("count").alias("_least"))
-    r = F.row_number().over(Window.partitionBy(group).orderBy(seeded(seed, key), key))
-    return df.withColumn("_r", r).crossJoin(F.broadcast(least)).where("_r <= _least").drop("_r", "_least")  # one row
+    rows = numbered_in(df, [group], seeded(seed, key), [key], "_r")
+    return rows.crossJoin(F.broadcast(least)).where("_r <= _least").drop("_r", "_least")  # one row
 
 
 def bucket_batches(df: DataFrame, bucket: str, key: str, size: int, drop_last: bool = True, seed: int = 0) -> DataFrame:
     """Number of each row's batch within its bucket, in seeded order."""
-    r = F.row_number().over(Window.partitionBy(bucket).orderBy(seeded(seed, key), key))
-    rows = df.withColumn("batch", F.floor((r - 1) / size).cast("long"))
+    rows = numbered_in(df, [bucket], seeded(seed, key), [key], "_r").withColumn("batch", F.floor((F.col("_r") - 1) / size).cast("long")).drop("_r")
     if not drop_last:
         return rows
     return rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(bucket, "batch"))).where(F.col("_n") == size).drop("_n")

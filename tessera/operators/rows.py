@@ -130,6 +130,19 @@ def numbered(df: DataFrame, order: str | list[str | Column], name: str, rows_eac
     return rows.join(F.broadcast(sizes), "_b").withColumn(name, number.cast("long")).select(*df.columns, name)
 
 
+def numbered_in(df: DataFrame, groups: list[str], by: Column, ties: list[str], name: str) -> DataFrame:
+    """Row number from 1 in each group, by a hash written in hexadecimal and then ``ties``; null is a group.
+
+    A group's rows are numbered in 4,096 parts by the hash's first digits, so
+    none of them needs one task; a group's counts are at most as many rows.
+    """
+    rows = df.withColumns({"_g": F.to_json(F.struct(*groups)), "_h": by}).withColumn("_b", F.substring("_h", 1, 3))
+    parts = rows.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    parts = parts.select("_g", "_b", (F.sum("_c").over(Window.partitionBy("_g").orderBy("_b")) - F.col("_c")).alias("_first"))
+    own = F.row_number().over(Window.partitionBy("_g", "_b").orderBy("_h", *ties))
+    return rows.withColumn("_r", own).join(parts, ["_g", "_b"]).withColumn(name, (F.col("_r") + F.col("_first")).cast("long")).select(*df.columns, name)
+
+
 def ok_first(df: DataFrame, key: str, ok: Column, order: list[str]) -> DataFrame:
     """One row a key: the first in order that is ok, else the first."""
     pick = F.struct((~F.coalesce(ok, F.lit(False))).alias("bad"), *order, F.struct(*df.columns).alias("row"))
