@@ -20,7 +20,9 @@ text's component is what links reach.
    is folded. Grams of one of ``HUBS`` kinds choose the same hub, so that alike
    sets meet the same few hubs, not another one for each gram.
 4. *The rest.* Pairs of a group in different components so far are verified the
-   same way, groups over ``GROUP_CAP`` in tiles that hold all their pairs.
+   same way, groups over ``GROUP_CAP`` in tiles that hold all their pairs. Sets
+   bring their parities, folded, into these groups, so that texts that share a
+   passage and little else are told apart there and give no pair.
 
 Cases: a null text is an empty set, as is one without words; empty sets equal
 each other. Fewer words than a shingle: the whole sequence is the one shingle.
@@ -49,6 +51,8 @@ COMMON = 65536
 GROUP_CAP = 4096
 #: Bits of the parities of a set, at least; longer sets have two to four for each hash.
 PARITY_BITS = 512
+#: Bytes of parities that go with a set into the groups of its hashes, at most; wider ones are folded.
+CARRIED = 512
 HUBS = 4
 #: Bytes of each hash that verification compares; within two sets of 20,000 hashes a false match has a chance of 1 in 2,700.
 VERIFIED = 5
@@ -92,6 +96,38 @@ def differing(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
 
 
+def folded(bits: bytes, width: int) -> np.ndarray:
+    """Parities on fewer bits: those of the hashes modulo ``width`` bytes of them."""
+    x = np.frombuffer(bits, np.uint64)
+    while len(x) * 8 > width:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+class Folded:
+    """The parities of a group's sets, to rule out many of its pairs at once."""
+
+    def __init__(self, bits: list[bytes], sizes: np.ndarray):
+        self.sizes, self.width = sizes, np.array([min(CARRIED, len(b)) for b in bits])
+        self.row, self.of = np.zeros((len(bits), 4), np.int64), []
+        for k in range(4):
+            wide = CARRIED >> k
+            have = np.flatnonzero(self.width >= wide)
+            self.row[have, k] = np.arange(len(have))
+            self.of.append(np.stack([folded(bits[i], wide) for i in have]) if len(have) else np.zeros((0, wide // 8), np.uint64))
+
+    def may_link(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Of pairs of rows those that differ in no more bits than alike sets can."""
+        both, keep = np.minimum(self.width[i], self.width[j]), np.zeros(len(i), bool)
+        for k in range(4):
+            mine = np.flatnonzero(both == CARRIED >> k)
+            for at in range(0, len(mine), 16384):
+                s = mine[at : at + 16384]
+                bits = np.bitwise_count(self.of[k][self.row[i[s], k]] ^ self.of[k][self.row[j[s], k]]).sum(axis=1, dtype=np.int64)
+                keep[s] = 9 * bits <= self.sizes[i[s]] + self.sizes[j[s]]
+        return keep
+
+
 def pack(own: np.ndarray) -> bytes:
     """The low bytes of a set's hashes."""
     return own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :VERIFIED].tobytes()
@@ -220,10 +256,12 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cap:
         for b in batches:
             whole = [hashes(t, WORDS) for t in b.column(2).to_pylist()]
             own = [np.unique(x) for x in whole]
-            rest = [_longs([fold(x) for x in whole]), _longs([_name(x) for x in own]), pa.array([len(x) for x in own], pa.int64()), pa.array([parities(x) for x in own], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *rest], ["doc_id", "text_hash", "fp", "rep", "n", "bits"])
+            bits = [parities(x) for x in own]
+            short = [folded(x, CARRIED).tobytes() if len(x) > CARRIED else None for x in bits]
+            rest = [_longs([fold(x) for x in whole]), _longs([_name(x) for x in own]), pa.array([len(x) for x in own], pa.int64()), pa.array(bits, pa.binary()), pa.array(short, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *rest], ["doc_id", "text_hash", "fp", "rep", "n", "bits", "short"])
 
-    sets = cut(rows.mapInArrow(sign, "doc_id long, text_hash long, fp long, rep long, n long, bits binary"))
+    sets = cut(rows.mapInArrow(sign, "doc_id long, text_hash long, fp long, rep long, n long, bits binary, short binary"))
     common = context.broadcast(_common(rows, sets.count()))
     release(docs.sparkSession)
 
@@ -266,23 +304,28 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cap:
     reached = connected_components(first, "rep", "root")
     left = members.join(reached, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     split = left.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
-    left = cut(left.join(split, "gram").select("gram", "rep", "n", "pos", "root"))
+    carried = sets.groupBy("rep").agg(F.min(F.coalesce("short", "bits")).alias("bits"))
+    left, left_at = spool(left.join(split, "gram").join(carried, "rep").select("gram", "rep", "n", "pos", "root", "bits"))
     drop_table(docs.sparkSession, members_at)
+    del members, hubs, star, pairs, split
     release(docs.sparkSession)
 
     def cross(group: pa.Table) -> pa.Table | None:
         rep, n, pos, root = (group[c].to_numpy() for c in ("rep", "n", "pos", "root"))
+        parity = Folded(group["bits"].to_pylist(), n)
         src, dst = [], []
         for at in range(0, len(rep), 128):
             to = slice(at, at + 128)
             own = np.minimum(pos[to, None], pos) + np.minimum((n - pos)[to, None], n - pos)
             i, j = np.nonzero((root[to, None] != root) & (9 * own >= 4 * (n[to, None] + n)) & (rep[to, None] < rep))
-            src.append(rep[at + i])
-            dst.append(rep[j])
+            keep = parity.may_link(at + i, j)
+            src.append(rep[at + i[keep]])
+            dst.append(rep[j[keep]])
         return pa.table({"src": np.concatenate(src), "dst": np.concatenate(dst)}) if sum(map(len, src)) else None
 
-    dealt = tiled(left, ["gram"], "rep", cap).select("gram", "tile", "rep", "n", "pos", "root")
+    dealt = tiled(left, ["gram"], "rep", cap).select("gram", "tile", "rep", "n", "pos", "root", "bits")
     rest = map_groups(dealt, ["gram", "tile"], cross, "src long, dst long").distinct()
     links = first.union(_verify(rest, sets, rows))
+    drop_table(docs.sparkSession, left_at)
     found = connected_components(links, "rep", "component")
     return sets.join(found, "rep", "left").select("doc_id", "text_hash", F.coalesce("component", "rep").alias("component"))
