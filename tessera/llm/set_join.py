@@ -37,7 +37,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import connected_components, cut, drop_table, lookup, map_groups, release, spool, tiled, tune
@@ -54,6 +54,8 @@ PARITY_BITS = 512
 #: Bytes of parities that go with a set into the groups of its hashes, at most; wider ones are folded.
 CARRIED = 512
 HUBS = 4
+#: How many of a set's hashes before one tell whether a pair has met already.
+BEFORE = 4
 #: Bytes of each hash that verification compares; within two sets of 20,000 hashes a false match has a chance of 1 in 2,700.
 VERIFIED = 5
 #: Bits of the filter that spares texts whose sets are not needed again.
@@ -305,7 +307,9 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cap:
     left = members.join(reached, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     split = left.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
     carried = sets.groupBy("rep").agg(F.min(F.coalesce("short", "bits")).alias("bits"))
-    left, left_at = spool(left.join(split, "gram").join(carried, "rep").select("gram", "rep", "n", "pos", "root", "bits"))
+    left = left.join(split, "gram").select("gram", "rep", "n", "pos", "root")
+    before = F.collect_list("gram").over(Window.partitionBy("rep").orderBy("gram").rowsBetween(-BEFORE, -1))
+    left, left_at = spool(left.withColumn("before", before).join(carried, "rep").select("gram", "rep", "n", "pos", "root", "bits", "before"))
     drop_table(docs.sparkSession, members_at)
     del members, hubs, star, pairs, split
     release(docs.sparkSession)
@@ -313,17 +317,27 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cap:
     def cross(group: pa.Table) -> pa.Table | None:
         rep, n, pos, root = (group[c].to_numpy() for c in ("rep", "n", "pos", "root"))
         parity = Folded(group["bits"].to_pylist(), n)
+        earlier = np.zeros((len(rep), BEFORE), np.int64)
+        known = np.zeros((len(rep), BEFORE), bool)
+        for k, own in enumerate(group["before"].to_pylist()):
+            earlier[k, : len(own)], known[k, : len(own)] = own, True
         src, dst = [], []
         for at in range(0, len(rep), 128):
             to = slice(at, at + 128)
             own = np.minimum(pos[to, None], pos) + np.minimum((n - pos)[to, None], n - pos)
             i, j = np.nonzero((root[to, None] != root) & (9 * own >= 4 * (n[to, None] + n)) & (rep[to, None] < rep))
-            keep = parity.may_link(at + i, j)
-            src.append(rep[at + i[keep]])
+            i = at + i
+            met = np.zeros(len(i), bool)  # these share a hash just before this one, and were a pair there
+            for a in range(BEFORE):
+                for b in range(BEFORE):
+                    met |= (earlier[i, a] == earlier[j, b]) & known[i, a] & known[j, b]
+            i, j = i[~met], j[~met]
+            keep = parity.may_link(i, j)
+            src.append(rep[i[keep]])
             dst.append(rep[j[keep]])
         return pa.table({"src": np.concatenate(src), "dst": np.concatenate(dst)}) if sum(map(len, src)) else None
 
-    dealt = tiled(left, ["gram"], "rep", cap).select("gram", "tile", "rep", "n", "pos", "root", "bits")
+    dealt = tiled(left, ["gram"], "rep", cap).select("gram", "tile", "rep", "n", "pos", "root", "bits", "before")
     rest = map_groups(dealt, ["gram", "tile"], cross, "src long, dst long").distinct()
     links = first.union(_verify(rest, sets, rows))
     drop_table(docs.sparkSession, left_at)
