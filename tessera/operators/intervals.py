@@ -52,7 +52,8 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], left_range:
     # at most as many rows as there are levels
     levels = sorted(r["level"] for r in found[0].union(found[1]).distinct().collect())
     sides = [_in_bins(df, keys, *ends, width, levels, side) for df, ends, side in ((left, left_range, "l"), (right, right_range, "r"))]
-    pairs = sides[0].join(sides[1], [*keys, "_level", "_bin"]).where("(_ownl or _ownr) and _bin = greatest(_firstl, _firstr)")
+    # Spark's estimate of a side does not count the rows that explode makes, so by it a side of any length may be broadcast
+    pairs = sides[0].hint("merge").join(sides[1], [*keys, "_level", "_bin"]).where("(_ownl or _ownr) and _bin = greatest(_firstl, _firstr)")
     end = lambda k: [F.col(f"_{side}_{ends[k]}") for side, ends in (("l", left_range), ("r", right_range))]
     overlap = F.least(*end(1)) - F.greatest(*end(0))
     whole = lambda df, side: F.struct(*(F.col(f"_{side}_{c}").alias(c) for c in df.columns)).alias(side)
