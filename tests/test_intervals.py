@@ -71,7 +71,7 @@ def many_parts(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["JN13_interval_owner", "WIN17_switches"])
+@pytest.mark.parametrize("name", ["JN13_interval_owner", "WIN17_switches", "WIN18_switch_plan"])
 def test_sides_that_grow_in_their_bins_are_not_broadcast(spark, many_parts, name):
     """Spark's estimate of either side is far below the threshold, its rows are far above what may be broadcast here."""
     spark.conf.set("spark.sql.maxBroadcastTableSize", "1m")
